@@ -1,7 +1,7 @@
 """Toxicity by classifier chains.
 
-The categories are predicted one after the other, each by a linear (logistic) model over word
-presence; the probabilities of earlier categories are further features of the later ones. For training,
+The categories are predicted one after the other, each by a linear (logistic) model over the
+presence of words and stems; the probabilities of earlier categories are further features of the later ones. For training,
 those probabilities are out-of-fold: each row's come from models that haven't seen the row, so the
 later models meet inputs like those at prediction time. The last category is ``toxic`` itself.
 
@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from ranklane.llm.common import bounded_batches
 
 #: Labelled rows to learn from at most; the smallest hashes of the key are taken.
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 6000
 #: Words that a model weighs at most, and the texts that a word must occur in.
-VOCABULARY, MIN_TEXTS = 512, 5
+VOCABULARY, MIN_TEXTS = 256, 5
+#: Bytes of the stems that are features beside the words.
+STEM = 4
 FOLDS = 3
 L2 = 1.0
 #: Weak labels of the categories before ``toxic``.
@@ -42,7 +44,9 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else
 
 
 def word_set(text: bytes | None) -> set[bytes]:
-    return set((text or b"").translate(_TABLE).split())
+    """The words of a text, and the stems of its longer words (first STEM bytes, marked by a star)."""
+    words = set((text or b"").translate(_TABLE).split())
+    return words | {w[:STEM] + b"*" for w in words if len(w) > STEM}
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -56,7 +60,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         s = np.maximum(p * (1 - p), 1e-6)
         step = np.linalg.solve((x * s[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
@@ -65,21 +69,36 @@ def apply(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
-def vocabulary(sets: list[set[bytes]], y: np.ndarray) -> list[bytes]:
-    """The words whose presence tells most about ``y``: largest absolute score of a two-proportion test."""
-    pos, neg = {}, {}
-    for s, label in zip(sets, y, strict=True):
-        to = pos if label else neg
-        for word in s:
-            to[word] = to.get(word, 0) + 1
-    a, b = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    scored = []
-    for word in pos.keys() | neg.keys():
-        p, q = pos.get(word, 0), neg.get(word, 0)
-        if p + q >= MIN_TEXTS:
-            r = (p + q) / (a + b)
-            scored.append((-abs(p / a - q / b) / max(1e-9, (r * (1 - r) * (1 / a + 1 / b)) ** 0.5), word))
-    return [word for _, word in sorted(scored)[:VOCABULARY]]
+class Coded:
+    """Word sets of training rows as numbers: row and word of every entry."""
+
+    def __init__(self, sets: list[set[bytes]]) -> None:
+        known: dict[bytes, int] = {}
+        flat = [[known.setdefault(w, len(known)) for w in sorted(s)] for s in sets]
+        self.names = list(known)
+        self.row = np.repeat(np.arange(len(sets)), [len(x) for x in flat])
+        self.word = np.concatenate([np.array(x, np.int64) for x in flat]) if flat else np.zeros(0, np.int64)
+
+    def vocabulary(self, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The words whose presence in ``rows`` (a mask) tells most about ``y``: largest two-proportion scores."""
+        own = rows[self.row]
+        hit = y[self.row] > 0
+        p = np.bincount(self.word[own & hit], minlength=len(self.names)).astype(float)
+        q = np.bincount(self.word[own & ~hit], minlength=len(self.names)).astype(float)
+        a, b = max(1, int((y[rows] > 0).sum())), max(1, int((y[rows] <= 0).sum()))
+        r = (p + q) / (a + b)
+        score = np.abs(p / a - q / b) / np.maximum(1e-9, np.sqrt(r * (1 - r) * (1 / a + 1 / b)))
+        score[p + q < MIN_TEXTS] = -1
+        best = np.lexsort((np.arange(len(score)), -score))[:VOCABULARY]
+        return best[score[best] >= 0]
+
+    def presence(self, words: np.ndarray, n: int) -> np.ndarray:
+        at = np.full(len(self.names) + 1, -1)
+        at[words] = np.arange(len(words))
+        col = at[self.word]
+        out = np.zeros((n, len(words)))
+        out[self.row[col >= 0], col[col >= 0]] = 1
+        return out
 
 
 def presence(sets: list[set[bytes]], words: list[bytes]) -> np.ndarray:
@@ -108,26 +127,26 @@ class Chain:
 
     def __init__(self, sets: list[set[bytes]], toxic: np.ndarray, folds: np.ndarray) -> None:
         self.links: list[Link] = []
-        earlier = np.zeros((len(sets), 0))
-        for name in CHAIN if len(sets) else ():
+        n, coded = len(sets), Coded(sets)
+        earlier = np.zeros((n, 0))
+        for name in CHAIN if n else ():
             y = toxic.astype(float)
             if name in CATEGORIES:
                 listed = {w.encode() for w in CATEGORIES[name]}
                 y = y * np.array([bool(s & listed) for s in sets])
-            outside = np.zeros(len(sets))
-            for f in range(FOLDS):  # the words are chosen within the fold too
-                train, test = np.flatnonzero(folds != f), np.flatnonzero(folds == f)
-                if len(train) and len(test):
-                    link = self._link([sets[k] for k in train], y[train], earlier[train])
-                    outside[test] = link.predict([sets[k] for k in test], earlier[test])
-            self.links.append(self._link(sets, y, earlier))
+            outside = np.zeros(n)
+            for f in [*range(FOLDS), None]:  # the words are chosen within the fold too; at last all rows
+                rows = folds != f if f is not None else np.ones(n, bool)
+                if rows.any():
+                    words = coded.vocabulary(rows, y)
+                    x = np.hstack([coded.presence(words, n), earlier])
+                    weights = fit(x[rows], y[rows])
+                    if f is None:
+                        self.links.append(Link([coded.names[k] for k in words], weights))
+                    elif not rows.all():
+                        outside[~rows] = apply(weights, x[~rows])
             earlier = np.hstack([earlier, outside[:, None]])
 
-    @staticmethod
-    def _link(sets, y, earlier) -> Link:
-        words = vocabulary(sets, y)
-        return Link(words, fit(np.hstack([presence(sets, words), earlier]), y))
-
     def predict(self, texts: list[bytes | None]) -> np.ndarray:
         """Probabilities by text and category."""
         if not self.links:
