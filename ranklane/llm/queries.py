@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ranklane.llm import bpe, exact_dedup, html_text, language_id, license_scan, packing, quality_rules, toxicity
+from ranklane.llm import bpe, exact_dedup, html_text, language_id, license_scan, ngram_join, packing, quality_rules, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_license_scan": license_scan.op8_license_scan,
