@@ -1,9 +1,73 @@
-"""Corpus preparation: documents to packed training sequences."""
+"""Corpus preparation: documents to packed training sequences.
 
-STAGES: list = []
+Each stage applies one operator to all that its predecessor kept; between stages the rows are written as Parquet.
+All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ranklane.llm import exact_dedup, ngram_join, packing, quality_rules, substring_dedup
+from ranklane.llm.common import materialize, without_ids
+
+#: The near-duplicate stage: words of a shingle, and percent of similarity.
+WORDS, PERCENT = 5, 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that a quality rule rejects."""
+    return quality_rules.keep_good(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that with the largest doc_id, of each group of equal texts."""
+    marked = exact_dedup.exact_duplicates(docs)
+    return without_ids(docs, marked.where("NOT kept").select("doc_id"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that with the smallest doc_id, of each component of near duplicates."""
+    groups = ngram_join.similar_groups(docs, WORDS, PERCENT)
+    return without_ids(docs, groups.where("component_id <> doc_id").select("doc_id"))
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes repeated passages from the texts; a document of which nothing is left goes."""
+    out = substring_dedup.without_repeats(docs)
+    emptied = (F.col("n_removed") > 0) & (F.length("text") == 0)
+    out = out.where(~emptied)
+    if "n_chars" in docs.columns:
+        changed = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", changed)
+    return out.select(*[F.col(c) for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into sequences of at most 1024 tokens."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality),
+    ("exact_dedup", exact),
+    ("ngram_jaccard_join", near),
+    ("substring_dedup", repeats),
+    ("best_fit_packing", pack),
+]
+
+#: SQL can express neither the sentence spans nor the tokenizer of the last stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's rows written as Parquet and read again by the next."""
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

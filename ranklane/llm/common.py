@@ -54,3 +54,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def keyed_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and text only, so that the scan reads two columns whatever else ``docs`` has."""
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+
+
+#: Ids that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose key is in ``ids`` (the same column); rows without key stay.
+
+    The ids are written once and counted: up to BROADCAST_IDS they are broadcast (about 40 MB at most), more go through a
+    shuffled join.
+    """
+    own = materialize(ids.where(F.col(key).isNotNull()).distinct(), "ids")
+    few = own.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(own) if few else own, key, "left_anti").select(*docs.columns)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ranklane.llm import bpe, exact_dedup, html_text, language_id, license_scan, ngram_join, packing, quality_rules, toxicity
+from ranklane.llm import bpe, exact_dedup, html_text, language_id, license_scan, ngram_join, packing, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
