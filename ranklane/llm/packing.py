@@ -14,6 +14,7 @@ as they occur. An empty table gives an empty table; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -29,8 +30,8 @@ from ranklane.llm.common import bounded_batches, keyed_text, materialize
 CAPACITY, END, GROUP = 1024, 2, 32768
 #: Rounds of exchange between partitions with gaps.
 ROUNDS = 2
-#: Chunks of text whose ids a worker remembers.
-CACHE = 400_000
+#: Parts of text whose ids a worker remembers (about 200 MB).
+CACHE = 1_000_000
 SPECIAL = "<|endoftext|>"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -39,7 +40,9 @@ class Tokens:
     """Ids of a text as packed 32-bit numbers, as the tokenizer gives them.
 
     A text is cut before each single space between other characters: no word of the byte-level pattern
-    spans such a place, so the ids of the parts follow one another. The ids of recent parts are remembered.
+    spans such a place, so the ids of the parts follow one another. The ids of the first CACHE parts are
+    remembered. New parts without line breaks are encoded many at once, a line break between two: it is a
+    word of its own there, and its id tells where a part ends.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,9 +50,7 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def parts(self, text: str) -> list[str]:
         if SPECIAL in text:
@@ -58,7 +59,7 @@ class Tokens:
         out = [first] if first else []
         out += [" " + x for x in rest]
         # beside other white space the cut isn't safe: such parts are joined again
-        if not any(x == " " or x[1:2].isspace() for x in out) and not (first[-1:].isspace() or any(x[-1].isspace() for x in out)):
+        if not any(x in text for x in _BESIDE) and (text.isascii() or not _OTHER_SPACE.search(text)):
             return out
         joined: list[str] = []
         for x in out:
@@ -68,19 +69,36 @@ class Tokens:
                 joined.append(x)
         return joined
 
+    def fresh(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts that aren't remembered."""
+        out: dict[str, bytes] = {}
+        plain = [p for p in parts if "\n" not in p and SPECIAL not in p]
+        groups = [plain[k : k + 2000] for k in range(0, len(plain), 2000)] if len(self.line) == 1 else []
+        for own, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            raw, ends = ids.tobytes(), np.flatnonzero(ids == self.line[0]).tolist()
+            if len(ends) == len(own) - 1:
+                out.update(zip(own, (raw[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in ends)], [*ends, len(ids)], strict=True)), strict=True))
+        rest = [p for p in parts if p not in out]
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            out[p] = np.array(e.ids, "<u4").tobytes()
+        return [out[p] for p in parts]
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         split = [self.parts(t) for t in texts]
         known = self.known
-        new = list({p for parts in split for p in parts} - known.keys())
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list({p for parts in split for p in parts})
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[p] for p in parts]) for parts in split]
-
-
+        new = list(set().union(*split) - known.keys())
+        found = dict(zip(new, self.fresh(new), strict=True))
+        room = CACHE - len(known)
+        known.update(found if len(found) <= room else list(found.items())[:room])
+        if len(found) <= room:
+            return [b"".join([known[p] for p in parts]) for parts in split]
+        return [b"".join([known.get(p) or found[p] for p in parts]) for parts in split]
+
+
+#: A space beside other white space, and white space beyond ASCII.
+_BESIDE = tuple(x for c in "\t\n\x0b\x0c\r" for x in (" " + c, c + " ")) + ("  ",)
+_OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _TOKENS: dict[str, Tokens] = {}
 
 
@@ -99,7 +117,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def document_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, ids: bool = False) -> DataFrame:
     """The pieces of every document with the checksum of their ids, and the ids where asked for."""
-    bounded_batches(docs.sparkSession, 500, 4 << 20)
+    bounded_batches(docs.sparkSession, 2000, 8 << 20)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * ids
     tail = np.array([end], "<u4").tobytes()
