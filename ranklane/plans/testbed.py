@@ -35,8 +35,9 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _hits:
         docs = passages(spark, sf)
-        if docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-            docs = docs.repartition(spark.sparkContext.defaultParallelism)  # one row group is one task otherwise
+        slots = spark.sparkContext.defaultParallelism
+        if len(docs.inputFiles()) < slots:  # one row group is one task otherwise
+            docs = docs.repartition(slots)
         scored = retrieval.bm25_scores(docs, retrieval.query_terms(topics(spark, sf)), SETTINGS)
         _hits[key] = retrieval.stable_top_k(scored, TOP_K).persist()
     return _hits[key]
