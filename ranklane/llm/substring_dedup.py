@@ -1,7 +1,8 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences: at white space after a full stop, question or exclamation mark, and at line
-breaks. From every sentence the shortest run of at least two consecutive sentences with MIN_WORDS words or more is
+A text is cut into sentences, long ones into their clauses: at white space after a full stop, question or
+exclamation mark, comma, semicolon or colon, and at line breaks. So an edit within a long sentence hides no more
+than a clause. From every sentence the shortest run of at least two consecutive ones with MIN_WORDS words or more is
 taken forwards, and another one backwards; a sentence of LONG_WORDS words or more is a run by itself. Every run is
 hashed (128 bits, after lower-casing A-Z and with single spaces). Of the equal runs of the whole
 table the one with the smallest (doc_id, position) is first; all sentences that any other one covers are removed.
@@ -31,7 +32,7 @@ from ranklane.llm.common import bounded_batches, keyed_text
 MIN_WORDS, LONG_WORDS = 20, 40
 #: Runs that a task holds before it settles and emits them.
 HELD = 2_000_000
-_SENTENCE = re.compile(r".*?(?:(?<=[.!?])[^\S\n]+|\n\s*|\Z)", re.S)
+_SENTENCE = re.compile(r".*?(?:(?<=[.!?,;:])[^\S\n]+|\n\s*|\Z)", re.S)
 
 
 def sentences(text: str) -> list[str]:
@@ -100,11 +101,12 @@ def repeated_places(docs: DataFrame, ranges: int | None = None) -> DataFrame:
             nonlocal turn
             first, again = _settle(np.concatenate(held))
             own = first["h"] % np.uint64(parts)
+            turn = turn or int(own[0])
             order = np.argsort(own, kind="stable")
             bounds = np.searchsorted(own[order], np.arange(parts + 1))
             rows = [(k, first[order[bounds[k] : bounds[k + 1]]].tobytes(), b"") for k in range(parts) if bounds[k] < bounds[k + 1]]
             for part in np.array_split(again, max(1, len(again) // 4096)):
-                turn += 1
+                turn += 1  # from a start of the task's own, so that these packets spread evenly
                 rows.append((turn % parts, b"", part.tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["k", "first", "again"])
 
