@@ -25,8 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that with the largest doc_id, of each group of equal texts."""
-    marked = exact_dedup.exact_duplicates(docs)
-    return without_ids(docs, marked.where("NOT kept").select("doc_id"))
+    return exact_dedup.keep_one(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

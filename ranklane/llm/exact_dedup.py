@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranklane.llm.common import bounded_batches, keyed_text
+from ranklane.llm.common import LOWER, UPPER, bounded_batches, keyed_text, materialize, without_ids
 
 #: Bytes of distinct content that a table may hold before its records are spilled.
 TABLE_BYTES = 192 << 20
@@ -190,6 +190,21 @@ def exact_duplicates(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     )
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with its columns: one for each normalised text.
+
+    Rows that agree in text and id stay once. A row without id stays, as nothing tells it from others.
+    """
+    marked = materialize(exact_duplicates(docs).select("doc_id", "kept", "text_sha256"), "marked")
+    out = without_ids(docs, marked.where("NOT kept").select("doc_id"))
+    again = marked.where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id").distinct()
+    if not again.limit(1).count():
+        return out
+    single = without_ids(out, again)
+    repeated = out.join(again, "doc_id", "left_semi").withColumn("__text", F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER))
+    return single.unionByName(repeated.dropDuplicates(["doc_id", "__text"]).select(*docs.columns))
+
+
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Group, keeper and digest of all documents."""
     return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -55,6 +55,12 @@ def test_exact_dedup(frame, budget):
     assert exact_dedup.exact_duplicates(frame([])).count() == 0
 
 
+def test_keep_one(frame):
+    df = frame([(1, "a"), (2, "A"), (2, "A"), (3, "b"), (3, "b"), (4, None), (5, "")])
+    out = exact_dedup.keep_one(df)
+    assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == [2, 3, 5]
+
+
 def test_spill_recursion_leaves_no_files(tmp_path, monkeypatch):
     monkeypatch.setattr("tempfile.tempdir", str(tmp_path))
     rows = [(hash((k % 50, "x")) & (1 << 64) - 1, str(k % 50).encode(), k, 1) for k in range(500)]
