@@ -50,18 +50,23 @@ RULES = (
 BASE = ("few_words", "repeated_words")
 
 
-def word_arrays(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the arrays of words and of lines with a word."""
-    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    lines = F.filter(F.split(value, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return docs.withColumns(
-        {
-            W + "words": F.filter(F.split(value, SPACE + "+", -1), lambda x: x != ""),
-            W + "lines": lines,
-            W + "word_chars": F.length(F.regexp_replace(value, SPACE, "")).cast("long"),
-            W + "n_symbols": (F.length(value) - F.length(F.translate(value, SYMBOLS, ""))).cast("long"),
-        }
-    )
+def _arrays(text: str) -> str:
+    """SQL of a struct with the words, the lines with a word, and the counts over characters.
+
+    Whatever uses it binds it to a lambda variable, so that it is evaluated once for each use, also where the optimizer
+    moves the expression into a filter.
+    """
+    value = f"coalesce(cast(`{text}` AS string), '')"
+    return f"""named_struct(
+        'words', filter(split({value}, '{SPACE}+', -1), x -> x != ''),
+        'lines', filter(split({value}, '\\n', -1), x -> x rlike '[^\\x20\\x09-\\x0D]'),
+        'word_chars', cast(length(regexp_replace({value}, '{SPACE}', '')) AS bigint),
+        'n_symbols', cast(length({value}) - length(translate({value}, '{SYMBOLS}', '')) AS bigint))""".replace("\\x", "\\\\x")
+
+
+def _with_arrays(text: str, body: str) -> str:
+    """SQL of ``body``, in which ``t`` is the struct of arrays."""
+    return f"element_at(transform(array({_arrays(text)}), t -> {body}), 1)"
 
 
 def repeat_words(words: str) -> str:
@@ -80,42 +85,42 @@ def repeat_words(words: str) -> str:
         acc + CASE WHEN size(array_distinct(g)) = size(g) THEN 0L ELSE {covered} END) END"""
 
 
+#: Counts over the arrays ``t``.
+COUNTS = {
+    "n_words": "cast(size(t.words) AS bigint)",
+    "n_lines": "cast(size(t.lines) AS bigint)",
+    "n_dup_lines": "cast(size(t.lines) - size(array_distinct(t.lines)) AS bigint)",
+    "n_repeat_words": repeat_words("t.words"),
+    "word_chars": "t.word_chars",
+    "n_symbols": "t.n_symbols",
+}
+
+
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds all counts. A count is evaluated only where a later expression asks for it."""
-    return word_arrays(docs, text).withColumns(
-        {
-            W + "n_words": F.size(W + "words").cast("long"),
-            W + "n_lines": F.size(W + "lines").cast("long"),
-            W + "n_dup_lines": (F.size(W + "lines") - F.size(F.array_distinct(W + "lines"))).cast("long"),
-            W + "n_repeat_words": F.expr(repeat_words(W + "words")),
-        }
-    )
+    """Adds all counts under ``W``."""
+    all_ = ", ".join(f"'{k}', {v}" for k, v in COUNTS.items())
+    out = docs.withColumn(W + "all", F.expr(_with_arrays(text, f"named_struct({all_})")))
+    return out.withColumns({W + k: F.col(W + "all")[k] for k in COUNTS}).drop(W + "all")
 
 
 def _inline(rule: Rule) -> str:
     """The predicate with its counts written out over the arrays, so that CASE evaluates them lazily."""
-    parts = {
-        "n_words": f"size({W}words)",
-        "n_lines": f"size({W}lines)",
-        "n_dup_lines": f"(size({W}lines) - size(array_distinct({W}lines)))",
-        "n_repeat_words": f"({repeat_words(W + 'words')})",
-    }
     out = rule.rejects
-    for name, sql in parts.items():
-        out = out.replace(W + name, sql)
+    for name, sql in COUNTS.items():
+        out = out.replace(W + name, f"({sql})")
     return out
 
 
 def ordered_rules(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejections per second of evaluation, measured on a sample of about ``sample_rows`` rows (no shuffle)."""
     share = min(1.0, sample_rows / max(docs.count(), 1))  # of a table: from the footers
-    sample = word_arrays(docs.select(F.col(text)).sample(share, seed=7), text).persist()
+    sample = docs.select(F.col(text)).sample(share, seed=7).persist()
     try:
         total = max(sample.count(), 1)
         ranked = []
         for k, rule in enumerate(rules):
             began = time.perf_counter()
-            rejected = sample.where(_inline(rule)).count()
+            rejected = sample.where(_with_arrays(text, _inline(rule))).count()
             cost = max(time.perf_counter() - began, 1e-4)
             ranked.append((-(rejected / total) / cost, k, rule))
     finally:
@@ -123,13 +128,12 @@ def ordered_rules(docs: DataFrame, rules=RULES, text: str = "text", sample_rows:
     return [rule for _, _, rule in sorted(ranked, key=lambda x: x[:2])]
 
 
-def cascade(rules) -> Column:
+def cascade(rules, text: str = "text") -> Column:
     """The name of the first rule, in the given order, that rejects; null where none does."""
-    out = None
-    for rule in rules:
-        hit = F.expr(_inline(rule))
-        out = F.when(hit, F.lit(rule.name)) if out is None else out.when(hit, F.lit(rule.name))
-    return out if out is not None else F.lit(None).cast("string")
+    if not rules:
+        return F.lit(None).cast("string")
+    whens = " ".join(f"WHEN {_inline(r)} THEN '{r.name}'" for r in rules)
+    return F.expr(_with_arrays(text, f"CASE {whens} END"))
 
 
 def quality_verdicts(docs: DataFrame, rules=RULES, text: str = "text", counts: bool = False, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -145,9 +149,8 @@ def quality_verdicts(docs: DataFrame, rules=RULES, text: str = "text", counts: b
         hit = None
         for rule in ordered:
             hit = (F if hit is None else hit).when(F.expr(rule.rejects), F.lit(rule.name))
-        return out.withColumn("rejected_by", hit).drop(W + "words", W + "lines")
-    out = word_arrays(base, text).withColumn("rejected_by", cascade(ordered))
-    return out.drop(*(W + x for x in ("words", "lines", "word_chars", "n_symbols")))
+        return out.withColumn("rejected_by", hit)
+    return base.withColumn("rejected_by", cascade(ordered, text))
 
 
 def keep_good(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
