@@ -123,7 +123,8 @@ def test_jaccard_join(frame, monkeypatch, words, percent, few):
     sets = {k: shingles(t, words) for k, t in rows}
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     want = roots(links, sets)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(frame(rows), words, percent).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(frame([*rows, (None, texts[10])]), words, percent).collect()}
+    assert got.pop(None)[1] is None
     assert got == {k: (len(sets[k]), want[k]) for k in sets}
 
 
