@@ -11,19 +11,21 @@ from ranklane.functions.text import tokens
 BROADCAST_TERMS = 2_000_000
 
 
-def query_terms(topics: DataFrame, first: int = 12) -> DataFrame:
-    """split, query_id, term: the distinct ones of a topic's first tokens."""
-    return topics.select("split", "query_id", F.explode(F.array_distinct(F.slice(tokens(F.col("query_text")), 1, first))).alias("term"))
+def query_terms(topics: DataFrame, first: int | None = None) -> DataFrame:
+    """split, query_id, term: the distinct ones of a topic's text, or of its ``first`` tokens only."""
+    words = tokens(F.col("query_text"))
+    return topics.select("split", "query_id", F.explode(F.array_distinct(words if first is None else F.slice(words, 1, first))).alias("term"))
 
 
 def bm25_scores(passages: DataFrame, terms: DataFrame, settings: dict[str, tuple[float, float]]) -> DataFrame:
     """Scores of all passages with a query's term, under each named (k1, b).
 
     The collection is tokenised once; its tokens meet the query vocabulary (counted, then broadcast or joined)
-    before anything is shuffled, so that only matching postings are counted. Each term's part is a
+    before they are counted, so that only matching postings are. The passages are dealt by docid once, so that neither counts
+    nor scores of a passage are shuffled again. Each term's part is a
     DECIMAL, so that the sum doesn't depend on the order. Also counts a query's terms that match.
     """
-    words = passages.select("docid", tokens(F.col("text")).alias("tokens"))
+    words = passages.repartition("docid").select("docid", tokens(F.col("text")).alias("tokens"))
     sized = words.select("docid", F.size("tokens").alias("dl"), "tokens")
     whole = passages.select(F.size(tokens(F.col("text"))).cast("long").alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).first()
     n_docs, avgdl = whole["n_docs"], whole["avgdl"] or 1.0

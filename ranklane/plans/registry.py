@@ -793,3 +793,25 @@ def corpus_union(spark, sf):
         one = df.withColumn("source", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("docid").alias("ids"))
+
+
+# Whole topic texts: the SQL above scores a topic's first tokens only, so each query over the run is registered once more
+
+#: Queries that don't read the run.
+WITHOUT_RUN = {
+    "duplicate_documents", "queries_passages_violations", "positives_distribution", "document_builder", "query_shards", "accumulation_windows",
+    "steady_state_estimate", "ledger_chain_check", "manifest_drift", "artifact_profile", "dev_access_violations", "corpus_union",
+}
+
+
+def _whole(f):
+    def whole(spark, sf):
+        with tb.whole_topics():
+            return f(spark, sf)
+
+    return whole
+
+
+for _name, _f in list(QUERIES.items()):
+    if _name not in WITHOUT_RUN:
+        QUERIES[f"{_name}_whole_text" if _name in ORACLES else _name] = _whole(_f)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +12,20 @@ from ranklane.operators import judgments, retrieval
 
 TOP_K = 100
 SETTINGS = {"bm25_score": (0.9, 0.4), "score_c": (1.2, 0.75)}
-_hits: dict[tuple[str, str], DataFrame] = {}
+#: Tokens of a topic's text that the DuckDB SQL scores.
+SQL_TOKENS = 12
+_first: ContextVar[int | None] = ContextVar("first", default=SQL_TOKENS)
+_hits: dict[tuple[str, str, int | None], DataFrame] = {}
+
+
+@contextmanager
+def whole_topics():
+    """Plans built within score whole topic texts."""
+    before = _first.set(None)
+    try:
+        yield
+    finally:
+        _first.reset(before)
 
 
 def passages(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,13 +48,14 @@ def qrels(spark: SparkSession, sf: str) -> DataFrame:
 
 def hits(spark: SparkSession, sf: str) -> DataFrame:
     """The top 100 with both systems' scores; kept in memory, as nearly all queries start from it."""
-    key = (spark.sparkContext.applicationId, sf)
+    first = _first.get()
+    key = (spark.sparkContext.applicationId, sf, first)
     if key not in _hits:
         docs = passages(spark, sf)
         slots = spark.sparkContext.defaultParallelism
         if len(docs.inputFiles()) < slots:  # one row group is one task otherwise
             docs = docs.repartition(slots)
-        scored = retrieval.bm25_scores(docs, retrieval.query_terms(topics(spark, sf)), SETTINGS)
+        scored = retrieval.bm25_scores(docs, retrieval.query_terms(topics(spark, sf), first), SETTINGS)
         _hits[key] = retrieval.stable_top_k(scored, TOP_K).persist()
     return _hits[key]
 
