@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from ranklane.functions.text import hash_fraction
 SPLIT_SEED, FRACTION, SMALLEST = 20260803, 0.15, 20
 BUCKETS = ((26, 50, 3), (51, 75, 3), (76, 100, 2))
 CAP, TARGET = 8, 16
+CONTROL_SEED, SHUFFLE_SEED = 20260805, 20260804
 BUCKET_LABELS = ("0", "1", "2", "3+")
 
 
@@ -153,18 +155,31 @@ def pairs(candidates: DataFrame, weak: DataFrame | None) -> DataFrame:
     return placed.join(pos, [*keys, "p"]).join(neg, [*keys, "negative_source", "k"]).select(*keys, "positive_docid", "negative_docid", "negative_source", "negative_bm25_rank", weight.alias("pair_weight"))
 
 
-def control_pairs(pair_frame: DataFrame, strata: DataFrame, target: int = 2000, seed: int = SPLIT_SEED, swap: float = 0.5) -> DataFrame:
-    """Whole query groups chosen by the largest deficit of their stratum until ``target`` pairs, labels swapped by seed.
+def control_pairs(judged: DataFrame, split: DataFrame, target: int = 2000, seed: int = CONTROL_SEED, shuffle_seed: int = SHUFFLE_SEED, swap: float = 0.5) -> DataFrame:
+    """Whole query groups of judged pairs, chosen by the largest deficit of their merged stratum until ``target`` pairs, labels swapped by seed.
 
-    Only one small row for each query reaches the driver.
+    ``split`` has query_id, merged_stratum and split_role; pairs of queries that aren't ``fit`` are refused. A stratum's queries
+    come in NumPy's permutation seeded by its name. Only one small row for each query reaches the driver; the chosen pairs, about
+    ``target`` of them, are swapped in one task.
     """
-    sizes = pair_frame.groupBy("split", "query_id").agg(F.count("*").alias("n")).join(strata.select("split", "query_id", "stratum"), ["split", "query_id"])
-    queues: dict[str, list] = {}
-    for r in sorted(sizes.collect(), key=lambda r: (r["stratum"], r["query_id"])):
-        queues.setdefault(r["stratum"], []).append(r)
-    names = sorted(queues)
-    total = sum(map(len, queues.values()))
-    share = {s: len(queues[s]) / total for s in names} if total else {}
+    if target <= 0:
+        raise ValueError("target must be positive")
+    sizes = judged.groupBy("query_id").agg(F.count("*").alias("n")).join(split.select("query_id", "merged_stratum", "split_role"), "query_id", "left").collect()
+    outside = sorted(r["query_id"] for r in sizes if r["split_role"] != "fit")
+    if outside:
+        raise ValueError(f"control pairs of queries that aren't fit: {', '.join(outside[:10])}")
+    available: dict[str, list] = {}
+    for r in sorted(sizes, key=lambda r: r["query_id"]):
+        available.setdefault(r["merged_stratum"], []).append(r)
+    labels = [f"{b}|{f}" for b in BUCKET_LABELS for f in "FT"]
+    members = lambda s: re.findall(r"(?:3\+|[012])\|[FT]", s)
+    names = sorted(available, key=lambda s: labels.index(members(s)[0]))
+    queues = {}
+    for s in names:
+        shown = "+".join("({0},{1})".format(*x.split("|")) for x in members(s))  # the reference's name of the stratum
+        first = int.from_bytes(hashlib.sha256(f"{seed}|{shown}".encode()).digest()[:8], "big")
+        queues[s] = [available[s][k] for k in np.random.Generator(np.random.PCG64(first)).permutation(len(available[s]))]
+    share = {s: len(queues[s]) / len(sizes) for s in names}
     chosen, picked, held = [], dict.fromkeys(names, 0), 0
     while held < target and any(picked[s] < len(queues[s]) for s in names):
         open_ = [s for s in names if picked[s] < len(queues[s])]
@@ -172,10 +187,14 @@ def control_pairs(pair_frame: DataFrame, strata: DataFrame, target: int = 2000,
         r = queues[s][picked[s]]
         picked[s] += 1
         held += r["n"]
-        chosen.append((r["split"], r["query_id"]))
-    spark = pair_frame.sparkSession
-    ids = spark.createDataFrame(chosen, "split string, query_id string")
-    rows = pair_frame.join(F.broadcast(ids), ["split", "query_id"], "left_semi").join(strata.select("split", "query_id", "stratum"), ["split", "query_id"])
-    swapped = hash_fraction(F.lit(seed), "stratum", "query_id", "positive_docid", "negative_docid") < F.lit(int(swap * 2**32))
-    a, b = F.col("positive_docid"), F.col("negative_docid")
-    return rows.select("split", "query_id", "stratum", F.when(swapped, b).otherwise(a).alias("positive_docid"), F.when(swapped, a).otherwise(b).alias("negative_docid"), swapped.alias("swapped"))
+        chosen.append((r["query_id"], s))
+    ids = judged.sparkSession.createDataFrame(chosen, "query_id string, merged_stratum string")
+    rows = judged.join(F.broadcast(ids), "query_id").select("split", "query_id", "merged_stratum", "positive_docid", "negative_docid")
+
+    def swapped(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop(columns="all").sort_values(["merged_stratum", "query_id", "positive_docid", "negative_docid"], key=lambda c: c.map(lambda x: x.encode())).reset_index(drop=True)
+        hit = np.random.Generator(np.random.PCG64(shuffle_seed)).random(len(pdf)) < swap
+        a, b = pdf["positive_docid"].to_numpy(), pdf["negative_docid"].to_numpy()
+        return pdf.assign(positive_docid=np.where(hit, b, a), negative_docid=np.where(hit, a, b), swapped=hit)
+
+    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(swapped, "split string, query_id string, merged_stratum string, positive_docid string, negative_docid string, swapped boolean")

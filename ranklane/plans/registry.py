@@ -581,7 +581,11 @@ def weak_doc_promotion(spark, sf):
 
 @query("control_pairs")
 def control_pairs(spark, sf):
-    return training_pairs.control_pairs(pairs_weak_hash_mode(spark, sf), query_strata(spark, sf), 200)
+    strata = training_pairs.with_merged(query_strata(spark, sf).where("split = 'train'"))
+    split = training_pairs.split_exact(strata)
+    fit = split.where("split_role = 'fit'").select("query_id")
+    judged = pairs_judged_only(spark, sf).where("split = 'train'").join(fit, "query_id", "left_semi")
+    return training_pairs.control_pairs(judged, split)
 
 
 # Encoding and scoring
