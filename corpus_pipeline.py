@@ -16,6 +16,8 @@ from ranklane.llm.common import materialize, without_ids
 
 #: The near-duplicate stage: words of a shingle, and percent of similarity.
 WORDS, PERCENT = 5, 80
+#: Column of a row's own id while its number stands in for it.
+OWN_ID = "__own_doc_id"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,21 +30,37 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_one(docs)
 
 
+def by_row(docs: DataFrame) -> DataFrame:
+    """``docs``; where a doc_id repeats, with a number of each row, in the order of doc_id, in its place and the id beside it."""
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if not repeated.limit(1).count():
+        return docs
+    row = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    return materialize(docs.orderBy("doc_id", "text").withColumns({OWN_ID: F.col("doc_id"), "doc_id": row}), "rows")
+
+
+def by_id(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows with their own doc_id again."""
+    own = rows.drop("doc_id").withColumnRenamed(OWN_ID, "doc_id") if OWN_ID in rows.columns else rows
+    return own.select(*columns)
+
+
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that with the smallest doc_id, of each component of near duplicates."""
-    groups = ngram_join.similar_groups(docs, WORDS, PERCENT)
-    return without_ids(docs, groups.where("component_id <> doc_id").select("doc_id"))
+    rows = by_row(docs)
+    groups = ngram_join.similar_groups(rows, WORDS, PERCENT)
+    return by_id(without_ids(rows, groups.where("component_id <> doc_id").select("doc_id")), docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated passages from the texts; a document of which nothing is left goes."""
-    out = substring_dedup.without_repeats(docs)
+    out = substring_dedup.without_repeats(by_row(docs))
     emptied = (F.col("n_removed") > 0) & (F.length("text") == 0)
     out = out.where(~emptied)
     if "n_chars" in docs.columns:
         changed = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", changed)
-    return out.select(*[F.col(c) for c in docs.columns])
+    return by_id(out, docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -193,15 +193,20 @@ def exact_duplicates(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with its columns: one for each normalised text.
 
-    Rows that agree in text and id stay once. A row without id stays, as nothing tells it from others.
+    Rows that agree in text and id stay once. A row without id stays, as nothing tells it from others. An id that repeats with
+    other texts loses only those rows whose text another row keeps.
     """
-    marked = materialize(exact_duplicates(docs).select("doc_id", "kept", "text_sha256"), "marked")
-    out = without_ids(docs, marked.where("NOT kept").select("doc_id"))
-    again = marked.where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id").distinct()
+    marked = materialize(exact_duplicates(docs).where("doc_id IS NOT NULL").select("doc_id", "kept", "text_sha256"), "marked")
+    lost = marked.where("NOT kept").select("doc_id")
+    # rows of an id that repeats are told apart by their text too
+    again = materialize(marked.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if not again.limit(1).count():
-        return out
-    single = without_ids(out, again)
-    repeated = out.join(again, "doc_id", "left_semi").withColumn("__text", F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER))
+        return without_ids(docs, lost)
+    single = without_ids(without_ids(docs, again), lost.join(again, "doc_id", "left_anti"))
+    text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
+    repeated = docs.join(again, "doc_id", "left_semi").withColumns({"__text": text, "__sha": F.sha2(text, 256)})
+    gone = marked.where("NOT kept").select("doc_id", F.col("text_sha256").alias("__sha")).distinct()
+    repeated = repeated.join(gone, ["doc_id", "__sha"], "left_anti")
     return single.unionByName(repeated.dropDuplicates(["doc_id", "__text"]).select(*docs.columns))
 
 
