@@ -21,8 +21,8 @@ OWN_ID = "__own_doc_id"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that a quality rule rejects."""
-    return quality_rules.keep_good(docs)
+    """Drops the documents that a quality rule rejects; none for its length alone."""
+    return quality_rules.keep_good(docs, quality_rules.PIPELINE_RULES)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

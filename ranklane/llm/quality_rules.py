@@ -48,6 +48,8 @@ RULES = (
     Rule("duplicate_lines", f"10 * {W}n_dup_lines > 3 * {W}n_lines"),
 )
 BASE = ("few_words", "repeated_words")
+#: Without the upper bound of words, which the contract of the query has: length alone rejects no text of the pipeline.
+PIPELINE_RULES = tuple(r for r in RULES if r.name != "too_many_words")
 
 
 def _arrays(text: str) -> str:
