@@ -1,7 +1,7 @@
 """Language identification with bit-sliced Bloom filters of character n-grams.
 
-One filter serves all languages: slot s holds a bitmask, bit l set if language l has put an n-gram
-there. Looking up an n-gram ANDs the masks of its K slots; the result is the set of languages whose
+One filter serves all languages: slot s holds a bitmask (of 64-bit words, as many as the languages need), bit l set
+if language l has put an n-gram there. Looking up an n-gram ANDs the masks of its K slots; the result is the set of languages whose
 n-grams contain it (true ones and false positives). Over a text, the popcount of each bit is the
 language's number of hits; with f_l the filter's false-positive rate for l, (hits - f_l * n) / (1 - f_l)
 corrects it. The largest corrected share decides, the more frequent language breaking ties.
@@ -31,7 +31,8 @@ SLOT_BITS = 20
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 #: Share of the largest relative frequency from which an n-gram belongs to a language too.
 SHARE = 0.5
-LANGUAGES_MAX = 64
+#: Languages of one array of masks; further ones take further arrays.
+WORD_BITS = 64
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -65,9 +66,9 @@ class LanguageFilter:
         by: dict[str, list[bytes]] = {}
         for lang, text in rows:
             by.setdefault(lang, []).append((text or "").encode())
-        self.languages = sorted(by, key=lambda x: (-len(by[x]), x))[:LANGUAGES_MAX]
+        self.languages = sorted(by, key=lambda x: (-len(by[x]), x))
         kind = np.uint8 if len(self.languages) <= 8 else np.uint64
-        self.masks = np.zeros(1 << SLOT_BITS, kind)
+        self.masks = [np.zeros(1 << SLOT_BITS, kind) for _ in range(0, max(1, len(self.languages)), WORD_BITS)]
         grams, freq = [], []
         for lang in self.languages:
             code, count = np.unique(gram_codes(by[lang])[0], return_counts=True)
@@ -79,23 +80,27 @@ class LanguageFilter:
             rates[k, np.searchsorted(every, code)] = f
         top = rates.max(axis=0) if len(grams) else np.zeros(0)
         for k in range(len(grams)):
+            masks = self.masks[k // WORD_BITS]
             for s in slots(every[rates[k] >= np.maximum(SHARE * top, 1e-12)]):
-                self.masks[s] |= kind(1 << k)  # equal slots get equal bits, so repeats are harmless
-        fill = [np.count_nonzero(self.masks >> kind(k) & kind(1)) / len(self.masks) for k in range(len(grams))]
+                masks[s] |= kind(1 << k % WORD_BITS)  # equal slots get equal bits, so repeats are harmless
+        fill = [np.count_nonzero(self.masks[k // WORD_BITS] >> kind(k % WORD_BITS) & kind(1)) / (1 << SLOT_BITS) for k in range(len(grams))]
         self.false = np.array([f ** len(MULTIPLIERS) for f in fill])
 
     def hits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Corrected hits by text and language, and the n-grams of each text."""
         code, at = gram_codes(texts)
-        masks = self.masks
-        found = None
-        for s in slots(code):
-            found = masks[s] if found is None else found & masks[s]
+        found = []
+        where = slots(code)
+        for masks in self.masks:
+            both = masks[where[0]]
+            for s in where[1:]:
+                both = both & masks[s]
+            found.append(both)
         n = np.diff(at)
-        kind = masks.dtype.type
+        kind = self.masks[0].dtype.type
         out = np.zeros((len(texts), len(self.languages)))
         for k in range(len(self.languages)):
-            total = np.concatenate([[0], np.cumsum((found >> kind(k) & kind(1)).astype(np.int64))])
+            total = np.concatenate([[0], np.cumsum((found[k // WORD_BITS] >> kind(k % WORD_BITS) & kind(1)).astype(np.int64))])
             out[:, k] = total[at[1:]] - total[at[:-1]]
         return np.maximum(0, (out - n[:, None] * self.false) / (1 - self.false)) if len(self.languages) else out, n
 
@@ -137,7 +142,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageFilter:
 def identify(docs: DataFrame, filters: LanguageFilter) -> DataFrame:
     """doc_id, lang_pred and score of every row; only doc_id and text are read."""
     bounded_batches(docs.sparkSession, size=8 << 20)
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 1 MB for up to 8 languages, 8 MB for 64
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 1 MB for up to 8 languages, else 8 MB for each 64 of them
 
     def tell(batches):
         for b in batches:
