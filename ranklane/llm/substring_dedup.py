@@ -1,9 +1,10 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences, long ones into their clauses: at white space after a full stop, question or
-exclamation mark, comma, semicolon or colon, and at line breaks. So an edit within a long sentence hides no more
-than a clause. From every sentence the shortest run of at least two consecutive ones with MIN_WORDS words or more is
-taken forwards, and another one backwards; a sentence of LONG_WORDS words or more is a run by itself. Every run is
+exclamation mark, comma, semicolon or colon, and at line breaks. Clauses of more than CUT_WORDS words are cut after
+the words of smallest hash in each window of WINDOW words, so equal words are cut alike whatever is around them: an edit
+within a clause hides at most CUT_WORDS words on each side of it, and any 50 repeated words hold a whole run. From every sentence the shortest run of at least two consecutive ones with MIN_WORDS words or more is
+taken forwards, and another one backwards. Every run is
 hashed (128 bits, after lower-casing A-Z and with single spaces). Of the equal runs of the whole
 table the one with the smallest (doc_id, position) is first; all sentences that any other one covers are removed.
 Forward and backward runs together cover any repeated passage of whole sentences with MIN_WORDS words, to its ends.
@@ -19,6 +20,7 @@ an empty table. Other columns are kept; a column named like a result is replaced
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +31,40 @@ from pyspark.sql import types as T
 
 from ranklane.llm.common import bounded_batches, keyed_text
 
-MIN_WORDS, LONG_WORDS = 20, 40
+MIN_WORDS, CUT_WORDS, WINDOW = 20, 15, 12
 #: Runs that a task holds before it settles and emits them.
 HELD = 2_000_000
+_WORD = re.compile(r"\S+\s*")
 _SENTENCE = re.compile(r".*?(?:(?<=[.!?,;:])[^\S\n]+|\n\s*|\Z)", re.S)
 
 
 def sentences(text: str) -> list[str]:
     """The sentences of a text, each with the white space after it; joined, they are the text."""
-    return [m for m in _SENTENCE.findall(text) if m]
+    out = []
+    for m in _SENTENCE.findall(text):
+        if m:
+            out += _cut(m)
+    return out
+
+
+def _cut(part: str) -> list[str]:
+    """``part`` whole or, with more than CUT_WORDS words, after the last word of smallest hash in each window."""
+    words = part.split()
+    if len(words) <= CUT_WORDS:
+        return [part]
+    h = [zlib.crc32(w.encode().lower()) for w in words]
+    ends, best = set(), -1
+    for i in range(WINDOW - 1, len(h)):
+        low = i - WINDOW + 1
+        if best < low:
+            best = min(range(low, i + 1), key=lambda k: (h[k], -k))
+        elif h[i] <= h[best]:
+            best = i
+        ends.add(best)
+    pieces = _WORD.findall(part)
+    pieces[0] = part[: len(part) - len(part.lstrip())] + pieces[0]
+    bounds = [0, *sorted(k + 1 for k in ends), len(pieces)]
+    return [p for a, b in zip(bounds, bounds[1:]) if (p := "".join(pieces[a:b]))]
 
 
 def runs(parts: list[str]) -> tuple[list[int], list[int], list[bytes]]:
@@ -50,8 +77,6 @@ def runs(parts: list[str]) -> tuple[list[int], list[int], list[bytes]]:
     n = len(at)
     j, total = 0, 0
     for i in range(n):  # forwards: the shortest run from i; its end never moves back
-        if words[i] >= LONG_WORDS:
-            found.add((i, i))
         while j < n and (j - i < 2 or total < MIN_WORDS):
             total += words[j]
             j += 1

@@ -1,0 +1,26 @@
+import random
+
+from ranklane.llm import substring_dedup as sd
+
+
+def test_any_fifty_repeated_words_hold_a_run():
+    rng = random.Random(5)
+    for turn in range(60):
+        passage = [f"p{turn}x{k}" + rng.choice(["", "", "", "", "", ",", "."]) for k in range(50)]
+        keys = []
+        for side in "ab":
+            own = lambda n: [f"{side}{turn}x{rng.random()}" for _ in range(n)]  # noqa: E731, B023
+            text = " ".join(own(rng.randrange(30)) + passage + own(rng.randrange(30)))
+            parts = sd.sentences(text)
+            assert "".join(parts) == text and max(len(p.split()) for p in parts) <= sd.CUT_WORDS
+            keys.append(set(sd.runs(parts)[2]))
+        assert keys[0] & keys[1]
+
+
+def test_passage_within_long_clauses_goes(frame):
+    passage = " ".join(f"shared{k}" for k in range(50))
+    own = lambda x: " ".join(f"{x}{k}" for k in range(25))
+    df = frame([(1, f"{own('a')} {passage} {own('b')}"), (2, f"{own('c')} {passage} {own('d')}")])
+    out = {r["doc_id"]: r for r in sd.without_repeats(df).collect()}
+    assert out[1]["n_removed"] == 0 and out[2]["n_removed"] > 0
+    assert all(w in out[2]["text"] for w in (own("c") + " " + own("d")).split())
