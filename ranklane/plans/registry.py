@@ -370,6 +370,17 @@ def depth_profile(spark, sf):
     return metrics.rounded(depth_vectors(spark, sf).groupBy("depth").agg(F.avg("ndcg_at_10").alias("ndcg")))
 
 
+@query("depth_comparison")
+def depth_comparison(spark, sf):
+    """Of each depth: mean nDCG, judged and condensed nDCG, and its queries improved, degraded and tied against BM25."""
+    base = vectors(spark, sf, "bm25").select("split", "query_id", F.col("ndcg_at_10").alias("baseline"))
+    d = F.col("ndcg_at_10") - F.col("baseline")
+    means = [F.avg(m).alias(m) for m in ("ndcg_at_10", "judged_at_10", "condensed_ndcg_at_10")]
+    return depth_vectors(spark, sf).join(base, ["split", "query_id"]).groupBy("depth").agg(
+        *means, F.count_if(d >= compare.TIE).alias("improved"), F.count_if(d <= -compare.TIE).alias("degraded"), F.count_if(F.abs(d) < compare.TIE).alias("ties")
+    )
+
+
 @query(
     "bias_flags",
     """SELECT d > 0 AND j < -0.05 AS pooling_bias, j > 0 AND c < 0 AS pool_overfit FROM (SELECT avg(m.ndcg_at_10) - avg(b.ndcg_at_10) AS d, avg(m.judged_at_10) - avg(b.judged_at_10) AS j, avg(m.condensed_ndcg_at_10) - avg(b.condensed_ndcg_at_10) AS c FROM m_lexical m JOIN m_bm25 b ON b.query_id = m.query_id)""",
