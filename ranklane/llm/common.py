@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,11 +36,28 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='ranklane-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Bytes of input for each partition of a shuffle that carries texts or records of them.
+PARTITION_BYTES = 16 << 20
+
+
+def stated_bytes(df: DataFrame) -> int | None:
+    """Bytes of the input of ``df`` as its plan states them (files, compressed); None where it doesn't know."""
+    stated = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return stated if stated < 1 << 60 else None
+
+
+def partitions_for(df: DataFrame, size: int = PARTITION_BYTES) -> int:
+    """Partitions of a shuffle of ``df``: the session's number, or more where its input asks for them."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (stated_bytes(df) or 0) // size)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again.
 
@@ -48,7 +66,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ranklane-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialized tables that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "written_to", None)
+        if path is not None:
+            jvm, spark = df.sparkSession._jvm, df.sparkSession
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def keyed_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
