@@ -1,20 +1,21 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences, long ones into their clauses: at white space after a full stop, question or
-exclamation mark, comma, semicolon or colon, and at line breaks. Clauses of more than CUT_WORDS words are cut after
-the words of smallest hash in each window of WINDOW words, so equal words are cut alike whatever is around them: an edit
-within a clause hides at most CUT_WORDS words on each side of it, and any 50 repeated words hold a whole run. From every sentence the shortest run of at least two consecutive ones with MIN_WORDS words or more is
-taken forwards, and another one backwards. Every run is
-hashed (128 bits, after lower-casing A-Z and with single spaces). Of the equal runs of the whole
-table the one with the smallest (doc_id, position) is first; all sentences that any other one covers are removed.
-Forward and backward runs together cover any repeated passage of whole sentences with MIN_WORDS words, to its ends.
+A text is cut into sentences: at white space after a full stop, question or exclamation mark, after their full-width
+forms, and at line breaks. Where no sentence ends within LONG_WORDS words (text without punctuation), the stretch counts as
+several: it is cut after words chosen by their hash, so that equal words are cut alike. Every run of several consecutive sentences is hashed that is shortest: from each sentence
+forwards, and to each sentence backwards, at least two sentences with MIN_WORDS words or more (128 bits, after
+lower-casing A-Z and with single spaces). Longer runs consist of such runs, so that a repeated passage of whole sentences is
+covered to its ends. Of the equal runs of the whole table the one with the smallest (doc_id, position) is first; all
+sentences that any other one covers are removed.
 
 A task first settles equal runs among its own rows, so a run with very many places leaves one record for
-each task; only those records are dealt by hash.
+each task; only those records are dealt by digest, over as many partitions as the input's size asks for, sorted there
+(Spark spills) and settled as a stream.
 
 Null or blank text has no runs. Rows without doc_id are left as they are and count for nothing; rows that
-share a doc_id count as one document and are treated alike. Very long texts are one row's work; an empty table gives
-an empty table. Other columns are kept; a column named like a result is replaced.
+share a doc_id count as one document and are treated alike. Very long texts are one row's work; a text of one sentence has no
+runs; an empty table gives an empty table. Other columns are kept; in ``without_repeats`` a column named like a result is
+replaced.
 """
 
 from __future__ import annotations
@@ -29,30 +30,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ranklane.llm.common import bounded_batches, keyed_text
+from ranklane.llm.common import bounded_batches, keyed_text, partitions_for
 
-MIN_WORDS, CUT_WORDS, WINDOW = 20, 15, 12
+#: Words and sentences of a run at least.
+MIN_WORDS, MIN_SENTENCES = 16, 2
+#: Words without a sentence's end from which text is cut, and the window whose word of smallest hash ends a piece.
+LONG_WORDS, WINDOW = 50, 12
 #: Runs that a task holds before it settles and emits them.
-HELD = 2_000_000
-_WORD = re.compile(r"\S+\s*")
-_SENTENCE = re.compile(r".*?(?:(?<=[.!?,;:])[^\S\n]+|\n\s*|\Z)", re.S)
+HELD = 1_000_000
+_END = re.compile(r"[.!?…][^\S\n]+|[。！？]\s*|\n\s*")
+_WORD = re.compile(r"\s*\S+\s*")
 
 
 def sentences(text: str) -> list[str]:
     """The sentences of a text, each with the white space after it; joined, they are the text."""
+    ends = [m.end() for m in _END.finditer(text)]
+    if not ends or ends[-1] < len(text):
+        ends.append(len(text))
     out = []
-    for m in _SENTENCE.findall(text):
-        if m:
-            out += _cut(m)
+    for a, b in zip([0, *ends], ends):
+        if b - a > 2 * LONG_WORDS and len(text[a:b].split()) > LONG_WORDS:
+            out += _pieces(text[a:b])
+        elif a < b:
+            out.append(text[a:b])
     return out
 
 
-def _cut(part: str) -> list[str]:
-    """``part`` whole or, with more than CUT_WORDS words, after the last word of smallest hash in each window."""
-    words = part.split()
-    if len(words) <= CUT_WORDS:
-        return [part]
-    h = [zlib.crc32(w.encode().lower()) for w in words]
+def _pieces(part: str) -> list[str]:
+    """``part`` after the last word of smallest hash in each window of WINDOW words, so that equal words are cut alike."""
+    words = _WORD.findall(part)
+    h = [zlib.crc32(w.strip().encode().lower()) for w in words]
     ends, best = set(), -1
     for i in range(WINDOW - 1, len(h)):
         low = i - WINDOW + 1
@@ -61,10 +68,8 @@ def _cut(part: str) -> list[str]:
         elif h[i] <= h[best]:
             best = i
         ends.add(best)
-    pieces = _WORD.findall(part)
-    pieces[0] = part[: len(part) - len(part.lstrip())] + pieces[0]
-    bounds = [0, *sorted(k + 1 for k in ends), len(pieces)]
-    return [p for a, b in zip(bounds, bounds[1:]) if (p := "".join(pieces[a:b]))]
+    bounds = [0, *sorted(k + 1 for k in ends), len(words)]
+    return [p for a, b in zip(bounds, bounds[1:]) if (p := "".join(words[a:b]))]
 
 
 def runs(parts: list[str]) -> tuple[list[int], list[int], list[bytes]]:
@@ -77,18 +82,18 @@ def runs(parts: list[str]) -> tuple[list[int], list[int], list[bytes]]:
     n = len(at)
     j, total = 0, 0
     for i in range(n):  # forwards: the shortest run from i; its end never moves back
-        while j < n and (j - i < 2 or total < MIN_WORDS):
+        while j < n and (j - i < MIN_SENTENCES or total < MIN_WORDS):
             total += words[j]
             j += 1
-        if j - i >= 2 and total >= MIN_WORDS:
+        if j - i >= MIN_SENTENCES and total >= MIN_WORDS:
             found.add((i, j - 1))
         total -= words[i]
     j, total = n - 1, 0
     for i in range(n - 1, -1, -1):  # backwards: the shortest run that ends at i
-        while j >= 0 and (i - j < 2 or total < MIN_WORDS):
+        while j >= 0 and (i - j < MIN_SENTENCES or total < MIN_WORDS):
             total += words[j]
             j -= 1
-        if i - j >= 2 and total >= MIN_WORDS:
+        if i - j >= MIN_SENTENCES and total >= MIN_WORDS:
             found.add((j + 1, i))
         total -= words[i]
     pairs = sorted(found)
@@ -96,44 +101,42 @@ def runs(parts: list[str]) -> tuple[list[int], list[int], list[bytes]]:
     return [at[i] for i, _ in pairs], [at[j] for _, j in pairs], keys
 
 
-_KIND = np.dtype([("h", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("a", "<i4"), ("b", "<i4")])
+_KIND = np.dtype([("h", "<i8"), ("g", "<i8"), ("doc", "<i8"), ("a", "<i4"), ("b", "<i4")])
 
 
-def _settle(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first place of every run, and all other places."""
-    rows = rows[np.lexsort((rows["a"], rows["doc"], rows["g"], rows["h"]))]
-    first = np.ones(len(rows), bool)
-    first[1:] = (rows["h"][1:] != rows["h"][:-1]) | (rows["g"][1:] != rows["g"][:-1])
-    # the same place twice (rows that share a doc_id) isn't another place
-    start = np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0)) if len(rows) else np.zeros(0, int)
-    again = ~first & ((rows["doc"] != rows["doc"][start]) | (rows["a"] != rows["a"][start]))
-    return rows[first], rows[again]
+def _again(rows: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs sorted by digest and place: which are their digest's first, and which aren't at its first place.
+
+    ``before`` has the first place of the digest that the rows may go on with, or nothing. The same place twice (rows
+    that share a doc_id) isn't another place.
+    """
+    both = np.concatenate([before, rows])
+    first = np.ones(len(both), bool)
+    first[1:] = (both["h"][1:] != both["h"][:-1]) | (both["g"][1:] != both["g"][:-1])
+    start = np.maximum.accumulate(np.where(first, np.arange(len(both)), 0))
+    again = ~first & ((both["doc"] != both["doc"][start]) | (both["a"] != both["a"][start]))
+    return both[start[-1:]], again[len(before) :]
 
 
-def repeated_places(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+def repeated_places(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """doc_id and its places (first and last sentence, alternating) of runs that aren't their run's first.
 
     A document can have several rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    parts = ranges or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def collect(batches):
-        held, size, turn = [], 0, 0
+        held, size = [], 0
 
         def emit():
-            nonlocal turn
-            first, again = _settle(np.concatenate(held))
-            own = first["h"] % np.uint64(parts)
-            turn = turn or int(own[0])
-            order = np.argsort(own, kind="stable")
-            bounds = np.searchsorted(own[order], np.arange(parts + 1))
-            rows = [(k, first[order[bounds[k] : bounds[k + 1]]].tobytes(), b"") for k in range(parts) if bounds[k] < bounds[k + 1]]
-            for part in np.array_split(again, max(1, len(again) // 4096)):
-                turn += 1  # from a start of the task's own, so that these packets spread evenly
-                rows.append((turn % parts, b"", part.tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["k", "first", "again"])
+            rows = np.concatenate(held)
+            rows = rows[np.lexsort((rows["a"], rows["doc"], rows["g"], rows["h"]))]
+            _, again = _again(rows, rows[:0])
+            # what is settled needs no digest any more: it goes wherever there is room
+            spread = rows["doc"] * np.int64(0x1F123BB5) + rows["a"]
+            columns = [np.where(again, spread, rows["h"]), *(np.ascontiguousarray(rows[c]) for c in ("g", "doc", "a", "b")), again]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "g", "doc", "a", "b", "settled"])
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -142,7 +145,7 @@ def repeated_places(docs: DataFrame, ranges: int | None = None) -> DataFrame:
                 a, z, keys = runs(sentences(text))
                 if keys:
                     new = np.empty(len(keys), _KIND)
-                    packed = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
+                    packed = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
                     new["h"], new["g"], new["doc"], new["a"], new["b"] = packed[:, 0], packed[:, 1], doc_id, a, z
                     held.append(new)
                     size += len(new)
@@ -153,17 +156,19 @@ def repeated_places(docs: DataFrame, ranges: int | None = None) -> DataFrame:
             yield emit()
 
     def settle(batches):
-        own: dict[int, list[bytes]] = {}
+        last = np.zeros(0, _KIND)
         for b in batches:
-            for k, first, again in zip(*(b.column(c).to_pylist() for c in ("k", "first", "again")), strict=True):
-                if first:
-                    own.setdefault(k, []).append(first)
-                if again:
-                    yield places(np.frombuffer(again, _KIND))
-        for k in list(own):
-            _, again = _settle(np.frombuffer(b"".join(own.pop(k)), _KIND))
-            if len(again):
-                yield places(again)
+            rows = np.empty(b.num_rows, _KIND)
+            for c in _KIND.names:
+                rows[c] = b.column(c).to_numpy(zero_copy_only=False)
+            settled = b.column("settled").to_numpy(zero_copy_only=False)
+            open_ = rows[~settled]
+            found = rows[settled]
+            if len(open_):
+                last, again = _again(open_, last)
+                found = np.concatenate([found, open_[again]])
+            if len(found):
+                yield places(found)
 
     def places(rows: np.ndarray) -> pa.RecordBatch:
         rows = rows[np.argsort(rows["doc"], kind="stable")]
@@ -172,38 +177,48 @@ def repeated_places(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(2 * np.append(at, len(rows)), pa.int32()), pa.array(flat, pa.int32()))
         return pa.RecordBatch.from_arrays([pa.array(docs_), lists], ["doc_id", "places"])
 
-    dealt = keyed_text(docs).mapInArrow(collect, "k int, first binary, again binary").repartition(parts, "k")
+    found = keyed_text(docs).mapInArrow(collect, "h long, g long, doc long, a int, b int, settled boolean")
+    dealt = found.repartition(parts or partitions_for(docs), "h", "g").sortWithinPartitions("h", "g", "doc", "a")
     return dealt.mapInArrow(settle, "doc_id long, places array<int>")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` cleaned, and n_sentences and n_removed (sentences before, and removed)."""
-    bounded_batches(docs.sparkSession)
-    lost = repeated_places(docs).groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
+def cleaned(docs: DataFrame) -> DataFrame:
+    """For each row of ``docs``: own (a struct of its columns), body (the cleaned text), before and removed (sentences)."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    parts = partitions_for(docs)
+    places = repeated_places(docs, parts).repartition(parts, "doc_id").groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
     # the columns of docs travel as one struct, so that their names can't clash
-    kept = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.struct(*[c for c in docs.columns if c not in ("text", "n_sentences", "n_removed")]).alias("own"))
-    joined = kept.join(lost.withColumnRenamed("doc_id", "id"), "id", "left").select("own", "body", "places")
-    schema = T.StructType([*joined.schema.fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
+    kept = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.struct(*[c for c in docs.columns if c != "text"]).alias("own"))
+    joined = kept.where("id IS NOT NULL").repartition(parts, "id").join(places.withColumnRenamed("doc_id", "id"), "id", "left")
+    # rows without id stay where they are: they would all meet in one partition
+    joined = joined.select("own", "body", "places").unionByName(kept.where("id IS NULL").select("own", "body", F.lit(None).cast("array<int>").alias("places")))
+    schema = T.StructType([*joined.schema.fields, T.StructField("before", T.LongType()), T.StructField("removed", T.LongType())])
 
     def clean(batches):
         for b in batches:
             texts, before, removed = [], [], []
             for text, places in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                parts = sentences(text or "")
-                bad = np.zeros(len(parts) + 1, np.int64)
+                own = sentences(text or "")
+                before.append(len(own))
                 if places:
+                    bad = np.zeros(len(own) + 1, np.int64)
                     at = np.array(places).reshape(-1, 2)
                     np.add.at(bad, at[:, 0], 1)
                     np.add.at(bad, at[:, 1] + 1, -1)
-                bad = np.cumsum(bad)[:-1] > 0
-                texts.append("".join(p for p, x in zip(parts, bad.tolist(), strict=True) if not x).strip() if places else text)
-                before.append(len(parts))
-                removed.append(int(bad.sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(2), pa.array(before, pa.int64()), pa.array(removed, pa.int64())], ["own", "body", "places", "n_sentences", "n_removed"])
+                    bad = np.cumsum(bad)[:-1] > 0
+                    text = "".join(p for p, x in zip(own, bad.tolist(), strict=True) if not x).strip()
+                texts.append(text)
+                removed.append(int(bad.sum()) if places else 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(2), pa.array(before, pa.int64()), pa.array(removed, pa.int64())], ["own", "body", "places", "before", "removed"])
+
+    return joined.mapInArrow(clean, schema).drop("places")
+
 
-    out = joined.mapInArrow(clean, schema)
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``text`` cleaned, and n_sentences and n_removed (sentences before, and removed)."""
     rest = [F.col("own")[c].alias(c) for c in docs.columns if c not in ("text", "n_sentences", "n_removed")]
-    return out.select(*rest, F.col("body").alias("text"), "n_sentences", "n_removed")
+    return cleaned(docs).select(*rest, F.col("body").alias("text"), F.col("before").alias("n_sentences"), F.col("removed").alias("n_removed"))
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
