@@ -16,7 +16,7 @@ def is_blank(value: Column) -> Column:
 
 
 def tokens(value: Column) -> Column:
-    return F.filter(F.split(F.lower(value), SEPARATOR), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(value), SEPARATOR), "")
 
 
 def document(title: Column, text: Column) -> Column:

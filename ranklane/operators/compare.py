@@ -14,10 +14,14 @@ PRACTICAL, TIE, SEED = 0.010, 1e-12, 20260802
 
 
 def paired(system: DataFrame, baseline: DataFrame, metric: str = "ndcg_at_10") -> DataFrame:
-    """split, query_id, baseline, system and delta of the queries of both."""
-    a = baseline.select("split", "query_id", F.col(metric).alias("baseline"))
-    b = system.select("split", "query_id", F.col(metric).alias("system"))
-    return a.join(b, ["split", "query_id"]).withColumn("delta", F.col("system") - F.col("baseline"))
+    """split, query_id, baseline, system and delta of every query. A query that only one side has is an error when rows are computed."""
+    a = baseline.select("split", "query_id", F.col(metric).alias("baseline"), F.lit(True).alias("_a"))
+    b = system.select("split", "query_id", F.col(metric).alias("system"), F.lit(True).alias("_b"))
+    alone = F.when(F.col("_a").isNull(), "baseline").when(F.col("_b").isNull(), "system")
+    lost = F.raise_error(F.concat(F.lit("query "), F.col("query_id"), F.lit(" is missing in the "), alone)).cast("double")
+    both = a.join(b, ["split", "query_id"], "full_outer")
+    checked = {c: F.when(alone.isNotNull(), lost).otherwise(F.col(c)) for c in ("baseline", "system")}
+    return both.select("split", "query_id", *[x.alias(c) for c, x in checked.items()]).withColumn("delta", F.col("system") - F.col("baseline"))
 
 
 def summary(deltas: DataFrame, *by: str) -> DataFrame:
@@ -34,7 +38,7 @@ def summary(deltas: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def bootstrap_by_hash(deltas: DataFrame, resamples: int, seed: int = SEED) -> DataFrame:
+def bootstrap_by_hash(deltas: DataFrame, resamples: int = 10_000, seed: int = SEED) -> DataFrame:
     """Percentile interval of the mean over resamples whose draws are hashes of (seed, resample, draw).
 
     Relational throughout: numbered queries meet resamples x draws on the drawn number.
@@ -65,9 +69,10 @@ def bootstrap_exact(deltas: DataFrame, resamples: int = 10_000, seed: int = SEED
 
 
 def outcome(mean: Column, low: Column, high: Column, practical: float = PRACTICAL) -> Column:
-    """One of six labels: direction first by the interval, then by the mean."""
+    """One of six labels: direction first by the interval, then by the mean. A mean outside its interval is an error."""
     return (
-        F.when((low > 0) & (mean >= practical), "improvement_confirmed")
+        F.when(~((low <= mean) & (mean <= high)), F.raise_error(F.concat(F.lit("the mean is outside its interval: "), F.concat_ws(" ", low, mean, high))).cast("string"))
+        .when((low > 0) & (mean >= practical), "improvement_confirmed")
         .when(low > 0, "positive_below_practical_threshold")
         .when(high < 0, "degradation_confirmed")
         .when(F.abs(mean) < TIE, "no_detectable_change")
@@ -85,3 +90,9 @@ def gate(local: DataFrame, published: DataFrame) -> DataFrame:
     """metric, local, published, tolerance and PASS or FAIL."""
     ok = F.abs(F.col("local_value") - F.col("published_value")) <= F.col("tolerance")
     return local.join(published, "metric").withColumn("verdict", F.when(ok, "PASS").otherwise("FAIL"))
+
+
+def tie_policy(descending: Column, ascending: Column, tolerance: float = 1e-9) -> Column:
+    """Which tie policy's metric vector agrees with an external one, by the largest absolute differences of both."""
+    down, up = descending <= tolerance, ascending <= tolerance
+    return F.when(up & ~down, "docno_asc").when(down & ~up, "docno_desc").when(up & down, "inconclusive_metric_equivalent").otherwise("no_policy_matches")

@@ -13,17 +13,18 @@ MAX_LENGTH = 320
 
 def char_ids(text: Column) -> Column:
     """10 + code point mod 211 of every character."""
-    return F.when(F.length(text) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: (F.lit(10) + F.ascii(c) % 211).cast("int")))
+    return F.when(F.length(text) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.split(text, ""), lambda c: (F.lit(10) + F.ascii(c) % 211).cast("int")))
 
 
 def encode_pair(df: DataFrame, query: str, document: str, max_length: int = MAX_LENGTH) -> DataFrame:
     """Adds input_ids ([0] query [2, 2] document [2]), tokens_before, tokens_after, truncated; only the document is cut."""
-    q, d = char_ids(F.col(query)), char_ids(F.col(document))
-    out = df.withColumns({"_q": q, "_d": d}).withColumn("_room", F.greatest(F.lit(max_length) - F.size("_q") - 4, F.lit(0)))
-    before = F.size("_q") + F.size("_d") + 4
-    after = F.size("_q") + F.least(F.size("_d"), F.col("_room")) + 4
-    ids = F.concat(F.array(F.lit(0)), F.col("_q"), F.array(F.lit(2), F.lit(2)), F.slice("_d", F.lit(1), F.col("_room")), F.array(F.lit(2)))
-    return out.withColumns({"input_ids": ids, "tokens_before": before, "tokens_after": after, "truncated": after < before}).drop("_q", "_d", "_room")
+    n_query, n_document = F.length(query), F.length(document)
+    room = F.greatest(F.lit(max_length) - n_query - 4, F.lit(0))
+    # the document is cut as text, so that only what stays is split into characters
+    kept = char_ids(F.substring(F.col(document), F.lit(1), room))
+    ids = F.concat(F.array(F.lit(0)), char_ids(F.col(query)), F.array(F.lit(2), F.lit(2)), kept, F.array(F.lit(2)))
+    before, after = n_query + n_document + 4, n_query + F.least(n_document, room) + 4
+    return df.withColumns({"input_ids": ids, "tokens_before": before, "tokens_after": after, "truncated": after < before})
 
 
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]

@@ -21,18 +21,20 @@ def ideal_dcg(qrels: DataFrame, k: int = K) -> DataFrame:
     return best.groupBy("query_id").agg(F.sum(part).alias("idcg"), F.count_if(F.col("relevance_grade") > 0).alias("positives"))
 
 
-def per_query(judged: DataFrame, qrels: DataFrame, universe: DataFrame, rank: str = "bm25_rank") -> DataFrame:
-    """Metrics of every query of ``universe``; one without hits has zeros.
+def per_query(judged: DataFrame, qrels: DataFrame, universe: DataFrame, rank: str = "bm25_rank", *by: str) -> DataFrame:
+    """Metrics of every query of ``universe``; one without hits has zeros. With ``by`` (columns of ``judged`` and
+    ``universe``, such as a depth) several rankings are measured in one plan.
 
     ``judged`` has split, query_id, docid, ``rank``, relevance_grade and is_judged. Positions are counted after
     sorting by rank; only the reciprocal rank uses the stored rank.
     """
-    order = Window.partitionBy("split", "query_id").orderBy(rank, "docid")
-    known = Window.partitionBy("split", "query_id", "is_judged").orderBy(rank, "docid")
+    keys = ["split", "query_id", *by]
+    order = Window.partitionBy(*keys).orderBy(rank, "docid")
+    known = Window.partitionBy(*keys, "is_judged").orderBy(rank, "docid")
     seen = judged.withColumns({"pos": F.row_number().over(order), "known_pos": F.row_number().over(known)})
     grade = F.coalesce("relevance_grade", F.lit(0))
     hit = grade > 0
-    one = seen.groupBy("split", "query_id").agg(
+    one = seen.groupBy(*keys).agg(
         F.sum(F.when((F.col("pos") <= K) & hit, gain(grade, F.col("pos"))).otherwise(0.0)).alias("dcg"),
         F.sum(F.when(F.col("is_judged") & (F.col("known_pos") <= K) & hit, gain(grade, F.col("known_pos"))).otherwise(0.0)).alias("condensed_dcg"),
         F.count_if(hit & (F.col("pos") <= 100)).alias("found"),
@@ -40,12 +42,11 @@ def per_query(judged: DataFrame, qrels: DataFrame, universe: DataFrame, rank: st
         F.min(F.when(hit & (F.col(rank) <= K), F.col(rank))).alias("first_rank"),
         F.count("*").alias("retrieved"),
     )
-    all_ = universe.select("split", "query_id").join(one, ["split", "query_id"], "left").join(ideal_dcg(qrels), "query_id", "left")
+    all_ = universe.select(*keys).join(one, keys, "left").join(ideal_dcg(qrels), "query_id", "left")
     zero = F.lit(0.0)
     over = lambda a, b: F.coalesce(F.when(F.col(b) > 0, F.col(a) / F.col(b)), zero)
     return all_.select(
-        "split",
-        "query_id",
+        *keys,
         over("dcg", "idcg").alias("ndcg_at_10"),
         over("condensed_dcg", "idcg").alias("condensed_ndcg_at_10"),
         over("found", "positives").alias("recall_at_100"),

@@ -7,47 +7,54 @@ from pyspark.sql import functions as F
 
 from ranklane.functions.text import tokens
 
-#: Distinct query terms that are broadcast at most; beyond, the postings are joined by a shuffle.
-BROADCAST_TERMS = 2_000_000
+#: Rows that are broadcast at most (a term, or a query's term); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
-def query_terms(topics: DataFrame, first: int | None = None) -> DataFrame:
-    """split, query_id, term: the distinct ones of a topic's text, or of its ``first`` tokens only."""
-    words = tokens(F.col("query_text"))
-    return topics.select("split", "query_id", F.explode(F.array_distinct(words if first is None else F.slice(words, 1, first))).alias("term"))
+def query_terms(topics: DataFrame) -> DataFrame:
+    """split, query_id, term: the distinct tokens of a topic's whole text."""
+    return topics.select("split", "query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
+
+
+def postings(passages: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """docid, dl, term, tf: the terms of ``vocabulary`` in every passage, and one row with null term for each passage.
+
+    The collection is tokenised once. The passages are dealt by docid before, so that neither these counts nor later sums
+    by docid are shuffled. A token that isn't in the vocabulary goes before anything is counted.
+    """
+    words = passages.repartition("docid").select("docid", tokens(F.col("text")).alias("tokens"))
+    marked = words.select("docid", F.size("tokens").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("term"))
+    few = vocabulary.count() <= BROADCAST_ROWS
+    known = vocabulary.withColumn("known", F.lit(True))
+    found = marked.join(F.broadcast(known) if few else known, "term", "left").where("known OR term IS NULL")
+    return found.groupBy("docid", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25_scores(passages: DataFrame, terms: DataFrame, settings: dict[str, tuple[float, float]]) -> DataFrame:
     """Scores of all passages with a query's term, under each named (k1, b).
 
-    The collection is tokenised once; its tokens meet the query vocabulary (counted, then broadcast or joined)
-    before they are counted, so that only matching postings are. The passages are dealt by docid once, so that neither counts
-    nor scores of a passage are shuffled again. Each term's part is a
-    DECIMAL, so that the sum doesn't depend on the order. Also counts a query's terms that match.
+    All statistics come from the postings, which are kept (in memory or on disk) while the result is used. Each term's part
+    is a DECIMAL, so that the sum doesn't depend on the order. Also counts a query's terms that match.
     """
-    words = passages.repartition("docid").select("docid", tokens(F.col("text")).alias("tokens"))
-    sized = words.select("docid", F.size("tokens").alias("dl"), "tokens")
-    whole = passages.select(F.size(tokens(F.col("text"))).cast("long").alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).first()
+    found = postings(passages, terms.select("term").distinct()).persist()
+    whole = found.where("term IS NULL").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).first()
     n_docs, avgdl = whole["n_docs"], whole["avgdl"] or 1.0
-    vocabulary = terms.select("term").distinct()
-    few = vocabulary.count() <= BROADCAST_TERMS
-    small = F.broadcast if few else (lambda x: x)
-    tf = (
-        sized.select("docid", "dl", F.explode("tokens").alias("term"))
-        .join(small(vocabulary), "term", "left_semi")
-        .groupBy("term", "docid", "dl")
-        .agg(F.count("*").alias("tf"))
-    )
+    tf = found.where("term IS NOT NULL")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(df, "term").select("split", "query_id", "term", idf.alias("idf"))
+    # one row for each term, with the queries that have it
+    asked = terms.groupBy("term").agg(F.collect_list(F.struct("split", "query_id")).alias("queries"))
+    weighted = asked.join(df, "term").select("term", "queries", idf.alias("idf"))
+    few = terms.count() <= BROADCAST_ROWS
+    small = F.broadcast if few else (lambda x: x)
     parts = {}
     for name, (k1, b) in settings.items():
         part = F.col("idf") * F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl)))
-        parts[name] = F.sum(part.cast("decimal(18,9)")).cast("double")
+        parts[name] = part.cast("decimal(18,9)").alias(name)  # once for each posting, not for each query
+    scored = tf.join(small(weighted), "term").select("docid", *parts.values(), F.explode("queries").alias("q"))
+    hits = scored.groupBy(F.col("q.split").alias("split"), F.col("q.query_id").alias("query_id"), "docid")
     total = terms.groupBy("split", "query_id").agg(F.count("*").alias("n_terms"))
-    hits = tf.join(small(weighted), "term").groupBy("split", "query_id", "docid")
-    return hits.agg(*[x.alias(k) for k, x in parts.items()], F.count("*").alias("matched")).join(F.broadcast(total) if few else total, ["split", "query_id"])
+    return hits.agg(*[F.sum(k).cast("double").alias(k) for k in settings], F.count("*").alias("matched")).join(small(total), ["split", "query_id"])
 
 
 def stable_top_k(scored: DataFrame, k: int, score: str = "bm25_score", rank: str = "bm25_rank") -> DataFrame:

@@ -9,7 +9,7 @@ BASE = r"""
 WITH docs AS (SELECT CAST(doc_id AS VARCHAR) AS docid, coalesce(source, '') AS title, coalesce(text, '') AS text FROM documents),
 tok AS (SELECT docid, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS tokens FROM docs),
 topics AS (SELECT CASE WHEN item_id % 4 = 0 THEN 'dev' ELSE 'train' END AS split, CAST(item_id AS VARCHAR) AS query_id, text AS query_text FROM benchmark),
-terms AS (SELECT DISTINCT split, query_id, term FROM (SELECT split, query_id, unnest(list_filter(regexp_split_to_array(lower(query_text), '[^\p{L}\p{N}]+'), lambda t: t <> '')[1:12]) AS term FROM topics)),
+terms AS (SELECT DISTINCT split, query_id, term FROM (SELECT split, query_id, unnest(list_filter(regexp_split_to_array(lower(query_text), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS term FROM topics)),
 nterms AS (SELECT query_id, count(*) AS n_terms FROM terms GROUP BY 1),
 stat AS (SELECT CAST(count(*) AS DOUBLE) AS n_docs, avg(len(tokens)) AS avgdl FROM tok),
 tf AS (SELECT docid, dl, term, count(*) AS tf FROM (SELECT docid, len(tokens) AS dl, unnest(tokens) AS term FROM tok) WHERE term IN (SELECT term FROM terms) GROUP BY 1, 2, 3),

@@ -52,10 +52,15 @@ def smoke_top3(spark, sf):
     return tb.run(spark, sf).where("query_id = '0' AND bm25_rank <= 3").select("query_id", "docid", "bm25_rank")
 
 
-@query("bm25_run_stable_rank", "SELECT split, count(*) AS n, CAST(0 AS BIGINT) AS misplaced FROM run GROUP BY 1")
+_SWAPPED = "CASE WHEN CAST(query_id AS INT) % 5 = 0 THEN 101 - bm25_rank ELSE bm25_rank END"
+
+
+@query("bm25_run_stable_rank", f"SELECT split, count(*) AS n, count(*) FILTER (WHERE again <> stated) AS misplaced FROM (SELECT split, {_SWAPPED} AS stated, row_number() OVER (PARTITION BY split, query_id ORDER BY bm25_score DESC, docid) AS again FROM run) GROUP BY 1")
 def bm25_run_stable_rank(spark, sf):
-    again = retrieval.stable_top_k(tb.run(spark, sf), tb.TOP_K, rank="again")
-    return again.groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.col("again") != F.col("bm25_rank")).alias("misplaced"))
+    """Stated ranks against the stable order; every fifth query's ranks are turned round, so that there is something to find."""
+    stated = tb.run(spark, sf).withColumn("stated", F.expr(_SWAPPED)).drop("bm25_rank")
+    again = retrieval.stable_top_k(stated, tb.TOP_K, rank="again")
+    return again.groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.col("again") != F.col("stated")).alias("misplaced"))
 
 
 @query("trec_run_lines", "SELECT split, query_id, bm25_rank, query_id || ' Q0 ' || docid || ' ' || bm25_rank || ' ' || CAST(CAST(bm25_score AS DECIMAL(28,9)) AS DECIMAL(28,8)) || ' bm25' AS line FROM run")
@@ -68,6 +73,18 @@ def stable_truncation_top10(spark, sf):
     return retrieval.stable_top_k(tb.run(spark, sf).withColumn("bm25_score", F.round("bm25_score", 8)), 10).select("split", "query_id", "docid", "bm25_rank")
 
 
+@query(
+    "truncation_difference",
+    """SELECT count(*) FILTER (WHERE b.docid IS NULL) AS only_truncated, count(*) FILTER (WHERE a.docid IS NULL) AS only_direct, count(*) AS n_rows FROM (SELECT query_id, docid FROM run WHERE bm25_rank <= 10) a FULL OUTER JOIN
+    (SELECT query_id, docid FROM (SELECT query_id, docid, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25_score, 1) DESC, docid) AS r FROM run) WHERE r <= 10) b ON b.query_id = a.query_id AND b.docid = a.docid""",
+)
+def truncation_difference(spark, sf):
+    """Two-way difference between the first ten of the run and a top ten by coarser scores."""
+    a = tb.run(spark, sf).where("bm25_rank <= 10").select("query_id", "docid", F.lit(True).alias("a"))
+    b = retrieval.stable_top_k(tb.run(spark, sf).withColumn("bm25_score", F.round("bm25_score", 1)), 10, rank="again").select("query_id", "docid", F.lit(True).alias("b"))
+    return a.join(b, ["query_id", "docid"], "full_outer").agg(F.count_if(F.col("b").isNull()).alias("only_truncated"), F.count_if(F.col("a").isNull()).alias("only_direct"), F.count("*").alias("n_rows"))
+
+
 @query("retrieval_depth_per_query", "SELECT t.split, t.query_id, count(docid) AS candidate_count, greatest(100 - count(docid), 0) AS shortfall FROM topics t LEFT JOIN run r ON r.query_id = t.query_id GROUP BY 1, 2")
 def retrieval_depth_per_query(spark, sf):
     return retrieval.depth_per_query(tb.topics(spark, sf), tb.run(spark, sf), 100)
@@ -106,9 +123,10 @@ def candidate_schema_violations(spark, sf):
     return quality.violations(tb.candidates(spark, sf), quality.candidate_checks(), {"duplicate_pair": ["split", "query_id", "docid"], "duplicate_rank": ["split", "query_id", "bm25_rank"]})
 
 
-@query("query_coverage_gaps", "SELECT split, query_id, 'topic_without_hits' AS side FROM topics WHERE query_id NOT IN (SELECT query_id FROM run) UNION ALL SELECT DISTINCT split, query_id, 'hits_without_topic' FROM run WHERE query_id NOT IN (SELECT query_id FROM topics)")
+@query("query_coverage_gaps", "SELECT split, query_id, 'topic_without_hits' AS side FROM topics WHERE CAST(query_id AS INT) % 5 <> 1 AND query_id NOT IN (SELECT query_id FROM run WHERE CAST(query_id AS INT) % 6 <> 0) UNION ALL SELECT DISTINCT split, query_id, 'hits_without_topic' FROM run WHERE CAST(query_id AS INT) % 6 <> 0 AND query_id NOT IN (SELECT query_id FROM topics WHERE CAST(query_id AS INT) % 5 <> 1)")
 def query_coverage_gaps(spark, sf):
-    return quality.coverage_gaps(tb.topics(spark, sf), tb.run(spark, sf))
+    """Some topics are taken out, and the hits of some others, so that both sides have gaps."""
+    return quality.coverage_gaps(tb.topics(spark, sf).where("CAST(query_id AS INT) % 5 <> 1"), tb.run(spark, sf).where("CAST(query_id AS INT) % 6 <> 0"))
 
 
 @query("topk_rank_violations", "SELECT split, query_id, count(*) AS n, min(bm25_rank) AS low, max(bm25_rank) AS high, count(DISTINCT bm25_rank) AS distinct_ranks, min(bm25_rank) = 1 AND max(bm25_rank) = count(*) AND count(DISTINCT bm25_rank) = count(*) AND count(*) <= 100 AS valid FROM run GROUP BY 1, 2")
@@ -134,11 +152,12 @@ def queries_passages_violations(spark, sf):
     return of(tb.passages(spark, sf), "passages", "docid", "text").unionByName(of(tb.topics(spark, sf), "topics", "query_id", "query_text"))
 
 
-@query("passage_reference_integrity", "SELECT count(DISTINCT docid) AS referenced, CAST(0 AS BIGINT) AS missing FROM cand")
+@query("passage_reference_integrity", "SELECT count(DISTINCT docid) AS referenced, count(DISTINCT CASE WHEN docid NOT IN (SELECT docid FROM docs WHERE CAST(docid AS BIGINT) % 7 <> 0) THEN docid END) AS missing FROM cand")
 def passage_reference_integrity(spark, sf):
-    wanted = tb.candidates(spark, sf).select("docid").distinct()
-    missing = wanted.join(tb.passages(spark, sf).select("docid"), "docid", "left_anti").agg(F.count("*").alias("missing"))
-    return wanted.agg(F.count("*").alias("referenced")).withColumn("k", F.lit(1)).join(missing.withColumn("k", F.lit(1)), "k").drop("k")
+    """Candidates whose passage isn't stored; every seventh passage is taken out."""
+    stored = tb.passages(spark, sf).where("CAST(docid AS BIGINT) % 7 <> 0").select("docid", F.lit(True).alias("stored"))
+    wanted = tb.candidates(spark, sf).select("docid").distinct().join(stored, "docid", "left")
+    return wanted.agg(F.count("*").alias("referenced"), F.count_if(F.col("stored").isNull()).alias("missing"))
 
 
 @query("passages_semi_join", "SELECT docid, title, length(text) AS chars FROM docs WHERE docid IN (SELECT docid FROM cand)")
@@ -166,7 +185,7 @@ def missing_passage_context(spark, sf):
 
 @query("rank_by_score", "SELECT split, query_id, docid, rank FROM rank_lexical")
 def rank_by_score(spark, sf):
-    return ranking.by_score(tb.scores(spark, sf)).select("split", "query_id", "docid", "rank")
+    return ranking.candidates_by_score(tb.run(spark, sf).select("split", "query_id", "docid"), tb.scores(spark, sf).select("query_id", "docid", "score")).select("split", "query_id", "docid", "rank")
 
 
 def _depth(depth: int) -> None:
@@ -185,14 +204,26 @@ def rank_preserving_trec(spark, sf):
     return ranking.rank_preserving(tb.ranking(spark, sf, "lexical"), "lexical")
 
 
-@query("rank_preserving_violations", "SELECT split, CAST(0 AS BIGINT) AS not_falling, CAST(0 AS BIGINT) AS not_rank FROM run GROUP BY 1")
+_BENT = "1000000 - rank + CASE WHEN rank % 10 = 3 THEN 2 ELSE 0 END"
+
+
+@query(
+    "rank_preserving_violations",
+    f"SELECT split, count(*) FILTER (WHERE before <= s) AS not_falling, count(*) FILTER (WHERE s <> 1000000 - rank) AS not_rank FROM (SELECT split, rank, s, lag(s) OVER (PARTITION BY split, query_id ORDER BY rank) AS before FROM (SELECT *, {_BENT} AS s FROM rank_lexical)) GROUP BY 1",
+)
 def rank_preserving_violations(spark, sf):
-    return ranking.rank_preserving_violations(tb.ranking(spark, sf, "lexical").withColumn("trec_score", 1000000 - F.col("rank")))
+    """Every third of ten scores is bent upwards, so that there is something to find."""
+    return ranking.rank_preserving_violations(tb.ranking(spark, sf, "lexical").withColumn("trec_score", F.expr(_BENT)))
 
 
-@query("candidate_set_invariant", "SELECT count(*) AS left_count, count(*) AS right_count, CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right, count(DISTINCT query_id) AS query_count, TRUE AS equal FROM run")
+@query(
+    "candidate_set_invariant",
+    """SELECT count(l) AS left_count, count(r) AS right_count, count(*) FILTER (WHERE r IS NULL) AS only_left, count(*) FILTER (WHERE l IS NULL) AS only_right, count(DISTINCT query_id) AS query_count, count(*) FILTER (WHERE r IS NULL OR l IS NULL) = 0 AS equal FROM
+    (SELECT query_id, docid, 1 AS l FROM rank_lexical WHERE rank % 19 <> 0) FULL OUTER JOIN (SELECT query_id, docid, 1 AS r FROM rank_c WHERE rank % 17 <> 0) USING (query_id, docid)""",
+)
 def candidate_set_invariant(spark, sf):
-    return quality.set_difference(tb.ranking(spark, sf, "lexical"), tb.ranking(spark, sf, "c"), ["query_id", "docid"])
+    """Two systems' candidates, each without some ranks."""
+    return quality.set_difference(tb.ranking(spark, sf, "lexical").where("rank % 19 <> 0"), tb.ranking(spark, sf, "c").where("rank % 17 <> 0"), ["query_id", "docid"])
 
 
 @query(
@@ -256,10 +287,8 @@ def judged_only_quality(spark, sf):
     LEFT JOIN (SELECT query_id, count(*) AS retrieved, count(*) FILTER (WHERE is_judged) AS judged, count(*) FILTER (WHERE is_judged AND bm25_rank <= 10) AS top_judged, count(*) FILTER (WHERE bm25_rank <= 10) AS top FROM cand GROUP BY 1) c ON c.query_id = t.query_id""",
 )
 def qrels_audit_per_query(spark, sf):
-    q = tb.qrels(spark, sf).groupBy("query_id").agg(F.count_if(F.col("relevance_grade") > 0).alias("positives"), F.count_if(F.col("relevance_grade") == 0).alias("negatives"))
-    top = F.col("bm25_rank") <= 10
-    c = tb.candidates(spark, sf).groupBy("query_id").agg(F.count("*").alias("retrieved"), F.count_if("is_judged").alias("judged"), F.count_if(F.col("is_judged") & top).alias("top_judged"), F.count_if(top).alias("top"))
-    return tb.topics(spark, sf).select("split", "query_id").join(q, "query_id", "left").join(c, "query_id", "left").na.fill(0)
+    rows = judgments.audit(tb.topics(spark, sf), tb.qrels(spark, sf), tb.candidates(spark, sf))
+    return rows.select("split", "query_id", "positives", "negatives", "retrieved", "judged", "top_judged", "top")
 
 
 @query(
@@ -280,6 +309,43 @@ def qrels_audit_summary(spark, sf):
     )
 
 
+_SPREAD = lambda c: [(f"{c}_min", f"CAST(min({c}) AS DOUBLE)"), (f"{c}_median", f"quantile_cont({c}, 0.5)"), (f"{c}_p90", f"quantile_cont({c}, 0.9)"), (f"{c}_max", f"CAST(max({c}) AS DOUBLE)")]
+_AUDIT = [
+    ("queries", "count(*)"), ("queries_with_qrels", "count(*) FILTER (WHERE qrels > 0)"), ("qrels", "sum(qrels)"), ("relevant_judgments", "sum(positives)"), ("non_relevant_judgments", "sum(negatives)"),
+    ("queries_without_positive", "count(*) FILTER (WHERE positives = 0)"), ("share_without_negative", "avg(CASE WHEN negatives = 0 THEN 1.0::DOUBLE ELSE 0.0 END)"), ("candidates", "sum(retrieved)"),
+    ("candidates_relevant", "sum(rel)"), ("candidates_judged_non_relevant", "sum(non)"), ("candidates_unjudged", "sum(un)"), ("overlap_pairs", "sum(judged)"), ("positives_retrieved", "sum(rel)"),
+    ("judgment_coverage", "avg(CASE WHEN retrieved > 0 THEN judged / retrieved::DOUBLE ELSE 0.0 END)"), ("mean_judged_at_10", "avg(CASE WHEN tp > 0 THEN top_judged / tp::DOUBLE ELSE 0.0 END)"),
+    ("queries_without_judged", "count(*) FILTER (WHERE judged = 0)"), ("retrieval_failures", "count(*) FILTER (WHERE retrieved = 0)"),
+    *_SPREAD("positives"), *_SPREAD("negatives"), *_SPREAD("retrieved"), *_SPREAD("judged"),
+]
+
+
+@query(
+    "qrels_audit",
+    f"""SELECT split, unnest([{', '.join(f"'{k}'" for k, _ in _AUDIT)}]) AS statistic, unnest([{', '.join(f'round(CAST({x} AS DOUBLE), 9)' for _, x in _AUDIT)}]) AS value FROM
+    (SELECT t.split, t.query_id, coalesce(n, 0) AS qrels, coalesce(p, 0) AS positives, coalesce(g, 0) AS negatives, coalesce(retrieved, 0) AS retrieved, coalesce(judged, 0) AS judged, coalesce(top_judged, 0) AS top_judged, coalesce(tp, 0) AS tp, coalesce(rel, 0) AS rel, coalesce(non, 0) AS non, coalesce(un, 0) AS un
+    FROM topics t LEFT JOIN (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE relevance_grade > 0) AS p, count(*) FILTER (WHERE relevance_grade = 0) AS g FROM qrels GROUP BY 1) q ON q.query_id = t.query_id
+    LEFT JOIN (SELECT query_id, count(*) AS retrieved, count(*) FILTER (WHERE is_judged) AS judged, count(*) FILTER (WHERE is_judged AND bm25_rank <= 10) AS top_judged, count(*) FILTER (WHERE bm25_rank <= 10) AS tp, count(*) FILTER (WHERE judgment = 'relevant') AS rel,
+      count(*) FILTER (WHERE judgment = 'judged_non_relevant') AS non, count(*) FILTER (WHERE judgment = 'unjudged') AS un FROM cand GROUP BY 1) c ON c.query_id = t.query_id) GROUP BY split""",
+)
+def qrels_audit(spark, sf):
+    """All statistics of the judgment audit, by split."""
+    return metrics.rounded(judgments.audit_summary(judgments.audit(tb.topics(spark, sf), tb.qrels(spark, sf), tb.candidates(spark, sf))))
+
+
+@query("relevance_values", "SELECT relevance_grade, count(*) AS n FROM qrels GROUP BY 1")
+def relevance_values(spark, sf):
+    """The domain of grades."""
+    return tb.qrels(spark, sf).groupBy("relevance_grade").agg(F.count("*").alias("n"))
+
+
+@query("zero_judged_queries", "SELECT split, query_id, query_text FROM topics WHERE query_id NOT IN (SELECT query_id FROM cand WHERE is_judged)")
+def zero_judged_queries(spark, sf):
+    """Topics none of whose candidates is judged."""
+    known = tb.candidates(spark, sf).where("is_judged").select("query_id").distinct()
+    return tb.topics(spark, sf).join(known, "query_id", "left_anti").select("split", "query_id", "query_text")
+
+
 @query(
     "positives_distribution",
     "SELECT CAST(min(n) AS DOUBLE) AS minimum, quantile_cont(n, 0.5) AS median, quantile_cont(n, 0.9) AS p90, CAST(max(n) AS DOUBLE) AS maximum FROM (SELECT query_id, count(*) FILTER (WHERE relevance_grade > 0) AS n FROM qrels GROUP BY 1)",
@@ -350,12 +416,9 @@ def oracle_gap(spark, sf):
 def depth_vectors(spark, sf):
     """Metrics of all depths in one plan: the depth is part of the partition key."""
     base = tb.scores(spark, sf).join(tb.run(spark, sf).drop("bm25_score"), ["split", "query_id", "docid"])
-    deep = None
-    for k in ranking.DEPTHS:
-        one = ranking.at_depth(base, k).select("split", "query_id", "docid", "rank")
-        v = metrics.per_query(judgments.attach(one, tb.qrels(spark, sf)), tb.qrels(spark, sf), tb.topics(spark, sf), "rank").withColumn("depth", F.lit(k))
-        deep = v if deep is None else deep.unionByName(v)
-    return deep
+    deep = judgments.attach(ranking.at_depths(base).select("split", "query_id", "docid", "depth", "rank"), tb.qrels(spark, sf))
+    universe = tb.topics(spark, sf).select("split", "query_id", F.explode(F.array(*map(F.lit, ranking.DEPTHS))).alias("depth"))
+    return metrics.per_query(deep, tb.qrels(spark, sf), universe, "rank", "depth")
 
 
 _DEPTHS = " UNION ALL ".join(
@@ -370,15 +433,24 @@ def depth_profile(spark, sf):
     return metrics.rounded(depth_vectors(spark, sf).groupBy("depth").agg(F.avg("ndcg_at_10").alias("ndcg")))
 
 
-@query("depth_comparison")
+_DEEP = " UNION ALL ".join(
+    f"""SELECT {k} AS depth, avg(n) AS ndcg_at_10, avg(j) AS judged_at_10, avg(c) AS condensed_ndcg_at_10, count(*) FILTER (WHERE n - b >= 1e-12) AS improved, count(*) FILTER (WHERE n - b <= -1e-12) AS degraded, count(*) FILTER (WHERE abs(n - b) < 1e-12) AS ties FROM
+    (SELECT m.query_id, m.ndcg_at_10 AS b, CASE WHEN idcg > 0 THEN coalesce(dcg, 0) / idcg ELSE 0.0 END AS n, CASE WHEN idcg > 0 THEN coalesce(cdcg, 0) / idcg ELSE 0.0 END AS c, coalesce(judged, 0) / 10.0::DOUBLE AS j FROM m_bm25 m LEFT JOIN
+      (SELECT query_id, sum(CASE WHEN rank <= 10 AND relevance_grade > 0 THEN (pow(2.0, relevance_grade) - 1) / log2(rank + 1) ELSE 0.0 END) AS dcg, count(*) FILTER (WHERE is_judged AND rank <= 10) AS judged,
+        sum(CASE WHEN is_judged AND kpos <= 10 AND relevance_grade > 0 THEN (pow(2.0, relevance_grade) - 1) / log2(kpos + 1) ELSE 0.0 END) AS cdcg FROM
+        (SELECT c.*, r.rank, row_number() OVER (PARTITION BY c.query_id, is_judged ORDER BY r.rank) AS kpos FROM ({at_depth(k)}) r JOIN cand c ON c.query_id = r.query_id AND c.docid = r.docid) GROUP BY 1) q ON q.query_id = m.query_id LEFT JOIN ideal i ON i.query_id = m.query_id)"""
+    for k in ranking.DEPTHS
+)
+
+
+@query("depth_comparison", f"SELECT depth, round(ndcg_at_10, 9) AS ndcg_at_10, round(judged_at_10, 9) AS judged_at_10, round(condensed_ndcg_at_10, 9) AS condensed_ndcg_at_10, improved, degraded, ties FROM ({_DEEP})")
 def depth_comparison(spark, sf):
     """Of each depth: mean nDCG, judged and condensed nDCG, and its queries improved, degraded and tied against BM25."""
     base = vectors(spark, sf, "bm25").select("split", "query_id", F.col("ndcg_at_10").alias("baseline"))
     d = F.col("ndcg_at_10") - F.col("baseline")
     means = [F.avg(m).alias(m) for m in ("ndcg_at_10", "judged_at_10", "condensed_ndcg_at_10")]
-    return depth_vectors(spark, sf).join(base, ["split", "query_id"]).groupBy("depth").agg(
-        *means, F.count_if(d >= compare.TIE).alias("improved"), F.count_if(d <= -compare.TIE).alias("degraded"), F.count_if(F.abs(d) < compare.TIE).alias("ties")
-    )
+    counts = [F.count_if(d >= compare.TIE).alias("improved"), F.count_if(d <= -compare.TIE).alias("degraded"), F.count_if(F.abs(d) < compare.TIE).alias("ties")]
+    return metrics.rounded(depth_vectors(spark, sf).join(base, ["split", "query_id"]).groupBy("depth").agg(*means, *counts))
 
 
 @query(
@@ -409,7 +481,7 @@ def paired_summary(spark, sf):
     return metrics.rounded(compare.summary(deltas(spark, sf)))
 
 
-_BOOT = """b AS (SELECT unnest(range(0, 200)) AS b), n AS (SELECT count(*) AS n FROM m_bm25), num AS (SELECT row_number() OVER (ORDER BY s.split, s.query_id) - 1 AS i, s.ndcg_at_10 - b.ndcg_at_10 AS delta FROM m_{0} s JOIN m_bm25 b ON b.query_id = s.query_id),
+_BOOT = """b AS (SELECT unnest(range(0, 10000)) AS b), n AS (SELECT count(*) AS n FROM m_bm25), num AS (SELECT row_number() OVER (ORDER BY s.split, s.query_id) - 1 AS i, s.ndcg_at_10 - b.ndcg_at_10 AS delta FROM m_{0} s JOIN m_bm25 b ON b.query_id = s.query_id),
     boot AS (SELECT b, CAST(sum(CAST(delta AS DECIMAL(28,15))) AS DOUBLE) / (SELECT n FROM n) AS m FROM (SELECT b, k, CAST('0x' || substr(md5('20260802|' || b || '|' || k), 1, 8) AS BIGINT) % (SELECT n FROM n) AS i FROM b, (SELECT unnest(range(0, (SELECT n FROM n))) AS k)) d JOIN num USING (i) GROUP BY 1)"""
 
 
@@ -419,7 +491,7 @@ def _boot(system: str, sql: str) -> str:
 
 @query("bootstrap_hash_ci", _boot("lexical", "SELECT count(*) AS resamples, round(quantile_cont(m, 0.025), 9) AS ci_low, round(quantile_cont(m, 0.975), 9) AS ci_high FROM boot"))
 def bootstrap_hash_ci(spark, sf):
-    return metrics.rounded(compare.bootstrap_by_hash(deltas(spark, sf), 200))
+    return metrics.rounded(compare.bootstrap_by_hash(deltas(spark, sf)))
 
 
 @query("bootstrap_numpy_exact")
@@ -429,7 +501,7 @@ def bootstrap_numpy_exact(spark, sf):
 
 def _outcome(spark, sf, system):
     d = deltas(spark, sf, system)
-    ci = compare.bootstrap_by_hash(d, 200).withColumn("k", F.lit(1))
+    ci = compare.bootstrap_by_hash(d).withColumn("k", F.lit(1))
     mean = d.agg(F.avg("delta").alias("mean_delta"), F.lit(1).alias("k"))
     return mean.join(ci, "k").select(F.lit(system).alias("system"), "mean_delta", "ci_low", "ci_high", compare.outcome(F.col("mean_delta"), F.col("ci_low"), F.col("ci_high")).alias("outcome"))
 
@@ -453,6 +525,56 @@ def three_way(spark, sf):
     return metrics.rounded(_outcome(spark, sf, "lexical").unionByName(_outcome(spark, sf, "c")))
 
 
+@query(
+    "three_way_primary",
+    "SELECT count(*) AS queries, count(*) FILTER (WHERE d >= 1e-12) AS improved, count(*) FILTER (WHERE d <= -1e-12) AS degraded, count(*) FILTER (WHERE abs(d) < 1e-12) AS ties, round(avg(d), 9) AS mean_delta, round(quantile_cont(d, 0.5), 9) AS median_delta, round(min(d), 9) AS min_delta, round(max(d), 9) AS max_delta FROM (SELECT s.ndcg_at_10 - b.ndcg_at_10 AS d FROM m_lexical s JOIN m_c b ON b.query_id = s.query_id)",
+)
+def three_way_primary(spark, sf):
+    """The primary comparison of three systems: the last against the one in the middle."""
+    return metrics.rounded(compare.summary(compare.paired(vectors(spark, sf, "lexical"), vectors(spark, sf, "c"))))
+
+
+_ROLE = "SELECT split, query_id, stratum, CASE WHEN row_number() OVER (PARTITION BY stratum ORDER BY sha256('20260803|' || query_id), query_id) <= ceil(0.15::DOUBLE * count(*) OVER (PARTITION BY stratum)) THEN 'validation' ELSE 'fit' END AS split_role FROM qstrata WHERE split = 'train'"
+_LABEL = "CASE WHEN up <= 1e-9 AND down > 1e-9 THEN 'docno_asc' WHEN down <= 1e-9 AND up > 1e-9 THEN 'docno_desc' WHEN up <= 1e-9 THEN 'inconclusive_metric_equivalent' ELSE 'no_policy_matches' END"
+_POLICY = """SELECT a.query_id, a.n AS up, d.n AS down FROM
+    (SELECT query_id, sum(CASE WHEN rank <= 10 AND relevance_grade > 0 THEN 1 / log2(rank + 1) ELSE 0.0 END) AS n FROM (SELECT l.query_id, relevance_grade, row_number() OVER (PARTITION BY l.query_id ORDER BY score DESC, l.docid) AS rank FROM lex l JOIN cand c ON c.query_id = l.query_id AND c.docid = l.docid) GROUP BY 1) a JOIN
+    (SELECT query_id, sum(CASE WHEN rank <= 10 AND relevance_grade > 0 THEN 1 / log2(rank + 1) ELSE 0.0 END) AS n FROM (SELECT l.query_id, relevance_grade, row_number() OVER (PARTITION BY l.query_id ORDER BY score DESC, l.docid DESC) AS rank FROM lex l JOIN cand c ON c.query_id = l.query_id AND c.docid = l.docid) GROUP BY 1) d USING (query_id)"""
+
+
+@query(
+    "tie_policy_label",
+    f"""SELECT external, round(up, 9) AS asc_difference, round(down, 9) AS desc_difference, {_LABEL} AS conclusion FROM (SELECT 'ascending' AS external, 0.0::DOUBLE AS up, max(abs(up - down)) AS down FROM ({_POLICY}) UNION ALL SELECT 'descending', max(abs(up - down)), 0.0::DOUBLE FROM ({_POLICY}) UNION ALL SELECT 'shifted', 1.0::DOUBLE, max(abs(up + 1.0 - down)) FROM ({_POLICY}))""",
+)
+def tie_policy_label(spark, sf):
+    """Which tie policy an external metric vector agrees with, for three external vectors: by docid ascending, descending, and one that is off by 1."""
+    def gains(ascending, name):
+        ranked = ranking.by_score(tb.scores(spark, sf), docid_ascending=ascending)
+        known = tb.candidates(spark, sf).select("query_id", "docid", "relevance_grade")
+        part = F.when((F.col("rank") <= 10) & (F.col("relevance_grade") > 0), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)
+        return ranked.join(known, ["query_id", "docid"]).groupBy("query_id").agg(F.sum(part).alias(name))
+
+    both = gains(True, "up").join(gains(False, "down"), "query_id")
+    external = F.explode(F.array(*[F.struct(F.lit(n).alias("external"), x.alias("value")) for n, x in (("ascending", F.col("up")), ("descending", F.col("down")), ("shifted", F.col("up") + 1))]))
+    rows = both.select("up", "down", external.alias("e")).groupBy("e.external").agg(F.max(F.abs(F.col("e.value") - F.col("up"))).alias("asc_difference"), F.max(F.abs(F.col("e.value") - F.col("down"))).alias("desc_difference"))
+    return metrics.rounded(rows.withColumn("conclusion", compare.tie_policy(F.col("desc_difference"), F.col("asc_difference"))))
+
+
+@query(
+    "validation_comparison",
+    """SELECT a.queries, round(a.mean_delta, 9) AS mean_delta, a.improved, a.degraded, j.n AS judged_usable, w.n AS weak_usable FROM (SELECT count(*) AS queries, avg(d) AS mean_delta, count(*) FILTER (WHERE d >= 1e-12) AS improved, count(*) FILTER (WHERE d <= -1e-12) AS degraded FROM
+    (SELECT x.ndcg_at_10 - y.ndcg_at_10 AS d FROM m_lexical x JOIN m_c y ON y.query_id = x.query_id WHERE x.query_id IN (SELECT query_id FROM ("""
+    + _ROLE
+    + """) WHERE split_role = 'validation'))) a, (SELECT count(DISTINCT query_id) AS n FROM pairs_judged WHERE split = 'train') j, (SELECT count(DISTINCT query_id) AS n FROM pairs_weak WHERE split = 'train') w""",
+)
+def validation_comparison(spark, sf):
+    """Two systems over the validation queries, and the queries that each regime of pairs can use."""
+    ids = split_hash_mode(spark, sf).where("split_role = 'validation'").select("query_id")
+    own = lambda system: vectors(spark, sf, system).join(ids, "query_id", "left_semi")
+    a = compare.summary(compare.paired(own("lexical"), own("c"))).select("queries", "mean_delta", "improved", "degraded", F.lit(1).alias("k"))
+    usable = lambda p, name: p.where("split = 'train'").agg(F.countDistinct("query_id").alias(name), F.lit(1).alias("k"))
+    return metrics.rounded(a.join(usable(pairs_judged_only(spark, sf), "judged_usable"), "k").join(usable(pairs_weak_hash_mode(spark, sf), "weak_usable"), "k").drop("k"))
+
+
 @query(
     "control_verdict",
     _boot("c", "SELECT CASE WHEN lo > 0 THEN 'BLOCKED_FOR_REVIEW' WHEN mean_delta > 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM (SELECT (SELECT avg(delta) FROM num) AS mean_delta, quantile_cont(m, 0.025) AS lo FROM boot)"),
@@ -461,7 +583,7 @@ def control_verdict(spark, sf):
     return _outcome(spark, sf, "c").select(compare.control_verdict(F.col("mean_delta"), F.col("ci_low"), F.lit(True)).alias("verdict"))
 
 
-# The same from 10,000 resamples: the SQL above takes 200, on which a bound rests on about five means
+# The same with NumPy's draws
 
 
 def _outcome_exact(spark, sf, system):
@@ -525,9 +647,6 @@ def merged_strata(spark, sf):
     return training_pairs.with_merged(query_strata(spark, sf)).select("query_id", "stratum", "merged_stratum")
 
 
-_ROLE = "SELECT split, query_id, stratum, CASE WHEN row_number() OVER (PARTITION BY stratum ORDER BY sha256('20260803|' || query_id), query_id) <= ceil(0.15::DOUBLE * count(*) OVER (PARTITION BY stratum)) THEN 'validation' ELSE 'fit' END AS split_role FROM qstrata WHERE split = 'train'"
-
-
 @query("split_hash_mode", _ROLE)
 def split_hash_mode(spark, sf):
     s = training_pairs.split_by_hash(query_strata(spark, sf).where("split = 'train'"))
@@ -591,6 +710,21 @@ def pair_stats(spark, sf):
     return p.groupBy("split", "negative_source").agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("queries"), F.countDistinct("query_id", "positive_docid").alias("positives"), F.sum(F.col("pair_weight").cast("double")).alias("weight"))
 
 
+@query(
+    "pair_exclusions",
+    """SELECT split, reason, count(*) AS queries FROM (SELECT t.split, t.query_id, CASE WHEN c.n IS NULL THEN 'no_candidates' WHEN p = 0 THEN 'no_positive' WHEN j = 0 AND coalesce(w.n, 0) = 0 THEN 'no_negative' WHEN j = 0 THEN 'weak_only' ELSE 'used' END AS reason FROM topics t
+    LEFT JOIN (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE judgment = 'relevant') AS p, count(*) FILTER (WHERE judgment = 'judged_non_relevant') AS j FROM cand GROUP BY 1) c ON c.query_id = t.query_id LEFT JOIN (SELECT query_id, count(*) AS n FROM weak GROUP BY 1) w ON w.query_id = t.query_id) GROUP BY 1, 2""",
+)
+def pair_exclusions(spark, sf):
+    """Why queries give pairs or don't: each topic has one reason."""
+    state = F.col("judgment")
+    c = tb.candidates(spark, sf).groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(state == "relevant").alias("p"), F.count_if(state == "judged_non_relevant").alias("j"))
+    w = weak_negatives_hash_mode(spark, sf).groupBy("query_id").agg(F.count("*").alias("w"))
+    reason = F.when(F.col("n").isNull(), "no_candidates").when(F.col("p") == 0, "no_positive").when((F.col("j") == 0) & (F.coalesce("w", F.lit(0)) == 0), "no_negative").when(F.col("j") == 0, "weak_only").otherwise("used")
+    rows = tb.topics(spark, sf).join(c, "query_id", "left").join(w, "query_id", "left")
+    return rows.groupBy("split", reason.alias("reason")).agg(F.count("*").alias("queries"))
+
+
 @query("rank_histogram", "SELECT b.bucket, count(p.bm25) AS n FROM (SELECT unnest(['1-25', '26-50', '51-75', '76-100']) AS bucket) b LEFT JOIN (SELECT negative_bm25_rank AS bm25, CASE WHEN negative_bm25_rank <= 25 THEN '1-25' WHEN negative_bm25_rank <= 50 THEN '26-50' WHEN negative_bm25_rank <= 75 THEN '51-75' ELSE '76-100' END AS bucket FROM pairs_weak) p ON p.bucket = b.bucket GROUP BY 1")
 def rank_histogram(spark, sf):
     r = F.col("negative_bm25_rank")
@@ -710,6 +844,17 @@ def token_cache_sequences(spark, sf):
     return p.select("query_id", F.col("positive_docid").alias("docid")).union(p.select("query_id", "negative_docid")).distinct()
 
 
+@query(
+    "token_cache",
+    "SELECT count(*) AS sequences, CAST(sum(tokens_after) AS BIGINT) AS tokens, CAST(max(tokens_after) AS INT) AS longest, CAST(4 * sum(tokens_after) AS BIGINT) AS bytes FROM encoded e JOIN (SELECT query_id, positive_docid AS docid FROM pairs_weak UNION SELECT query_id, negative_docid FROM pairs_weak) p ON p.query_id = e.query_id AND p.docid = e.docid",
+)
+def token_cache(spark, sf):
+    """Sequences, tokens and bytes (32-bit ids) of the cache of all training pairs; each sequence is encoded once."""
+    wanted = token_cache_sequences(spark, sf)
+    one = encoding.encode_pair(texts(spark, sf).join(wanted, ["query_id", "docid"], "left_semi"), "query_text", "document").select(F.size("input_ids").alias("n"))
+    return one.agg(F.count("*").alias("sequences"), F.sum("n").alias("tokens"), F.max("n").alias("longest"), (4 * F.sum("n")).alias("bytes"))
+
+
 # Selection, ledgers, gates
 
 
@@ -788,26 +933,50 @@ def artifact_profile(spark, sf):
     return p.agg(F.count("*").alias("n_rows"), F.countDistinct("docid").alias("docids"), F.count_if(F.col("title") == "").alias("empty_titles"), F.min(n).alias("shortest"), F.max(n).alias("longest"))
 
 
-@query("run_score_binding", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS mismatches FROM run")
+@query(
+    "run_score_binding",
+    """SELECT count(*) AS n, count(*) FILTER (WHERE h.rank IS DISTINCT FROM w.rank) AS mismatches FROM rank_lexical w FULL OUTER JOIN
+    (SELECT query_id, docid, rank FROM rank_lexical WHERE CAST(query_id AS INT) % 4 <> 1 UNION ALL SELECT query_id, docid, rank FROM rank_c WHERE CAST(query_id AS INT) % 4 = 1) h ON h.query_id = w.query_id AND h.docid = w.docid""",
+)
 def run_score_binding(spark, sf):
-    want = ranking.by_score(tb.scores(spark, sf)).select("query_id", "docid", F.col("rank").alias("want"), F.col("score").alias("s"))
-    have = tb.ranking(spark, sf, "lexical").select("query_id", "docid", F.col("rank").alias("have"), (1000000 - F.col("rank")).alias("trec_score"))
+    """A run's lines against the ranking by stored scores; the run of every fourth query is another system's. Ranks are read back from the lines."""
+    want = ranking.by_score(tb.scores(spark, sf)).select("query_id", "docid", F.col("rank").alias("want"))
+    other = F.col("query_id").cast("int") % 4 == 1
+    run = tb.ranking(spark, sf, "lexical").where(~other).unionByName(tb.ranking(spark, sf, "c").where(other))
+    lines = ranking.rank_preserving(run, "mixed").select(F.split("line", " ").alias("f"))
+    have = lines.select(F.col("f")[0].alias("query_id"), F.col("f")[2].alias("docid"), (1000000 - F.col("f")[4].cast("double")).cast("long").alias("have"))
     both = want.join(have, ["query_id", "docid"], "full_outer")
-    same = F.col("want").eqNullSafe(F.col("have")) & F.col("trec_score").eqNullSafe(1000000 - F.col("want"))
-    return both.agg(F.count("*").alias("n"), F.count_if(~same).alias("mismatches"))
+    return both.agg(F.count("*").alias("n"), F.count_if(~F.col("want").eqNullSafe(F.col("have"))).alias("mismatches"))
 
 
-@query("report_consistency", "SELECT TRUE AS means_agree, TRUE AS strata_partition")
+@query(
+    "report_consistency",
+    """SELECT abs(s - b - d) <= 1e-9 AS means_agree, placed = n AND ids = n AS strata_partition, placed, round(d, 9) AS mean_delta FROM (SELECT avg(x.ndcg_at_10) AS s, avg(y.ndcg_at_10) AS b, avg(x.ndcg_at_10 - y.ndcg_at_10) AS d, count(*) AS n FROM m_lexical x JOIN m_bm25 y ON y.query_id = x.query_id),
+    (SELECT count(*) AS placed, count(DISTINCT query_id) AS ids FROM strata)""",
+)
 def report_consistency(spark, sf):
     d = deltas(spark, sf).agg(F.avg("delta").alias("d"), F.avg("system").alias("s"), F.avg("baseline").alias("b"), F.count("*").alias("n"), F.lit(1).alias("k"))
     p = placed(spark, sf).agg(F.count("*").alias("placed"), F.countDistinct("query_id").alias("ids"), F.lit(1).alias("k"))
-    return d.join(p, "k").select((F.abs(F.col("s") - F.col("b") - F.col("d")) <= 1e-9).alias("means_agree"), ((F.col("placed") == F.col("n")) & (F.col("ids") == F.col("n"))).alias("strata_partition"))
+    agree = (F.abs(F.col("s") - F.col("b") - F.col("d")) <= 1e-9).alias("means_agree")
+    return metrics.rounded(d.join(p, "k").select(agree, ((F.col("placed") == F.col("n")) & (F.col("ids") == F.col("n"))).alias("strata_partition"), "placed", F.col("d").alias("mean_delta")))
 
 
-@query("validation_entry_violations", "SELECT unnest(['not_finite', 'out_of_range', 'universe']) AS \"check\", CAST(0 AS BIGINT) AS violations")
+_ENTRY = "CASE WHEN CAST(query_id AS INT) % 7 = 3 THEN CAST('NaN' AS DOUBLE) WHEN CAST(query_id AS INT) % 3 = 0 THEN ndcg_at_10 - 0.25 ELSE ndcg_at_10 END"
+
+
+@query(
+    "validation_entry_violations",
+    f"""SELECT unnest(['not_finite', 'out_of_range', 'universe']) AS "check", unnest([count(*) FILTER (WHERE isnan(m)), count(*) FILTER (WHERE m < 0 OR (m > 1 + 1e-12 AND NOT isnan(m))), count(*) FILTER (WHERE o IS NULL OR q IS NULL)]) AS violations
+    FROM (SELECT query_id AS q, {_ENTRY} AS m FROM m_lexical) a FULL OUTER JOIN (SELECT query_id AS o FROM m_c WHERE CAST(query_id AS INT) % 5 <> 0) b ON o = q""",
+)
 def validation_entry_violations(spark, sf):
-    v = vectors(spark, sf, "lexical").select("query_id", F.col("ndcg_at_10").alias("m")).join(vectors(spark, sf, "c").select("query_id", F.lit(True).alias("other")), "query_id", "full_outer")
-    return quality.violations(v, {"not_finite": F.isnan("m"), "out_of_range": (F.col("m") < 0) | (F.col("m") > 1 + 1e-12), "universe": F.col("m").isNull() | F.col("other").isNull()})
+    """Some values are bent out of range or made NaN, and some queries are missing on one side."""
+    v = vectors(spark, sf, "lexical").select("query_id", F.expr(_ENTRY).alias("m"))
+    other = vectors(spark, sf, "c").where("CAST(query_id AS INT) % 5 <> 0").select("query_id", F.lit(True).alias("other"))
+    return quality.violations(
+        v.withColumn("own", F.lit(True)).join(other, "query_id", "full_outer"),
+        {"not_finite": F.isnan("m"), "out_of_range": ~F.isnan("m") & ((F.col("m") < 0) | (F.col("m") > 1 + 1e-12)), "universe": F.col("own").isNull() | F.col("other").isNull()},
+    )
 
 
 @query("dev_access_violations", "SELECT count(*) FILTER (WHERE event_type = 'purchase' AND (first_view IS NULL OR event_id < first_view)) AS before_selection FROM (SELECT *, min(CASE WHEN event_type = 'view' THEN event_id END) OVER (PARTITION BY user_id) AS first_view FROM events)", base=False)
@@ -831,25 +1000,3 @@ def corpus_union(spark, sf):
         one = df.withColumn("source", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("docid").alias("ids"))
-
-
-# Whole topic texts: the SQL above scores a topic's first tokens only, so each query over the run is registered once more
-
-#: Queries that don't read the run.
-WITHOUT_RUN = {
-    "duplicate_documents", "queries_passages_violations", "positives_distribution", "document_builder", "query_shards", "accumulation_windows",
-    "steady_state_estimate", "ledger_chain_check", "manifest_drift", "artifact_profile", "dev_access_violations", "corpus_union",
-}
-
-
-def _whole(f):
-    def whole(spark, sf):
-        with tb.whole_topics():
-            return f(spark, sf)
-
-    return whole
-
-
-for _name, _f in list(QUERIES.items()):
-    if _name not in WITHOUT_RUN:
-        QUERIES[f"{_name}_whole_text" if _name in ORACLES else _name] = _whole(_f)

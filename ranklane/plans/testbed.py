@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ranklane.operators import judgments, retrieval
 
 TOP_K = 100
+#: Items that are broadcast at most.
+BROADCAST_ITEMS = 200_000
 SETTINGS = {"bm25_score": (0.9, 0.4), "score_c": (1.2, 0.75)}
-#: Tokens of a topic's text that the DuckDB SQL scores.
-SQL_TOKENS = 12
-_first: ContextVar[int | None] = ContextVar("first", default=SQL_TOKENS)
-_hits: dict[tuple[str, str, int | None], DataFrame] = {}
-
-
-@contextmanager
-def whole_topics():
-    """Plans built within score whole topic texts."""
-    before = _first.set(None)
-    try:
-        yield
-    finally:
-        _first.reset(before)
+_hits: dict[tuple[str, str], DataFrame] = {}
 
 
 def passages(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,27 +25,34 @@ def topics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def qrels(spark: SparkSession, sf: str) -> DataFrame:
-    """Synthetic judgments; an equi-join on the residue, not a product."""
+    """Synthetic judgments: of each label the items of one residue. Items are broadcast up to BROADCAST_ITEMS, else joined by a shuffle."""
     items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", F.pmod(-F.col("item_id"), F.lit(3)).alias("r"))
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality", F.pmod("doc_id", F.lit(3)).alias("r"))
     grade = F.when((F.col("quality") == 1) & ((F.col("doc_id") * 7 + F.col("item_id")) % 5 == 0), 1).otherwise(0).cast("long")
-    return labels.join(F.broadcast(items), "r").select(F.col("item_id").cast("string").alias("query_id"), F.col("doc_id").cast("string").alias("docid"), grade.alias("relevance_grade"))
+    few = items.count() <= BROADCAST_ITEMS
+    return labels.join(F.broadcast(items) if few else items, "r").select(F.col("item_id").cast("string").alias("query_id"), F.col("doc_id").cast("string").alias("docid"), grade.alias("relevance_grade"))
 
 
 def hits(spark: SparkSession, sf: str) -> DataFrame:
-    """The top 100 with both systems' scores; kept in memory, as nearly all queries start from it."""
-    first = _first.get()
-    key = (spark.sparkContext.applicationId, sf, first)
+    """The top 100 with both systems' scores; kept in memory, as nearly all queries start from it, until ``release``."""
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _hits:
         docs = passages(spark, sf)
         slots = spark.sparkContext.defaultParallelism
         if len(docs.inputFiles()) < slots:  # one row group is one task otherwise
             docs = docs.repartition(slots)
-        scored = retrieval.bm25_scores(docs, retrieval.query_terms(topics(spark, sf), first), SETTINGS)
+        scored = retrieval.bm25_scores(docs, retrieval.query_terms(topics(spark, sf)), SETTINGS)
         _hits[key] = retrieval.stable_top_k(scored, TOP_K).persist()
     return _hits[key]
 
 
+def release() -> None:
+    """Frees the runs that are kept."""
+    for df in _hits.values():
+        df.unpersist()
+    _hits.clear()
+
+
 def run(spark: SparkSession, sf: str) -> DataFrame:
     return hits(spark, sf).select("split", "query_id", "docid", "bm25_rank", "bm25_score")
 

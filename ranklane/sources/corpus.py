@@ -15,18 +15,16 @@ def shard_index(path):
     return F.regexp_extract(path, SHARD, 1).cast("int")
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """shard, line and the parsed fields of all lines that aren't blank, with ``problem`` (null: valid).
+def parsed(lines: DataFrame) -> DataFrame:
+    """shard, docid, title, text and ``problem`` (null: valid) of lines (shard, value).
 
-    A gzip file is one task; what follows is dealt anew by the caller where it matters. Ids that aren't JSON
-    strings are found by the raw value's type, as plain parsing would turn numbers to strings.
+    Ids that aren't JSON strings are found by the raw value's type, as plain parsing would turn numbers to strings.
     """
-    lines = spark.read.text(path).select("value", shard_index(F.col("_metadata.file_path")).alias("shard")).where(~is_blank(F.col("value")))
-    raw = F.expr("try_parse_json(value)")
-    typed = lines.withColumn("v", raw)
+    typed = lines.withColumn("v", F.expr("try_parse_json(value)"))
     kind = lambda f: F.expr(f"schema_of_variant(try_variant_get(v, '$.{f}', 'variant'))")
     field = lambda f: F.expr(f"try_variant_get(v, '$.{f}', 'string')")
-    parsed = typed.select("shard", "value", F.col("v").isNull().alias("broken"), *[field(f).alias(f) for f in ("docid", "title", "text")], *[kind(f).alias("k_" + f) for f in ("docid", "title", "text")])
+    fields = ("docid", "title", "text")
+    out = typed.select("shard", F.col("v").isNull().alias("broken"), *[field(f).alias(f) for f in fields], *[kind(f).alias("k_" + f) for f in fields])
     problem = (
         F.when(F.col("broken"), "not JSON")
         .when(F.coalesce(F.col("k_docid"), F.lit("")) != "STRING", "docid is not a string")
@@ -34,7 +32,13 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
         .when(~F.coalesce(F.col("k_title"), F.lit("VOID")).isin("STRING", "VOID"), "title is not a string")
         .when(F.coalesce(F.col("k_text"), F.lit("")) != "STRING", "text is not a string")
     )
-    return parsed.select("shard", "docid", F.coalesce("title", F.lit("")).alias("title"), "text", problem.alias("problem"))
+    return out.select("shard", "docid", F.coalesce("title", F.lit("")).alias("title"), "text", problem.alias("problem"))
+
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """All lines that aren't blank, as ``parsed`` has them. A gzip file is one task; what follows is dealt anew by the
+    caller where it matters."""
+    return parsed(spark.read.text(path).select("value", shard_index(F.col("_metadata.file_path")).alias("shard")).where(~is_blank(F.col("value"))))
 
 
 def valid_passages(parsed: DataFrame, examples: int = 10) -> DataFrame:

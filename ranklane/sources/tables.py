@@ -40,7 +40,7 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_trec_run(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """A run of six white-space separated fields; ranks are positive integers, scores finite."""
+    """A run of six white-space separated fields; the ranks of a query are 1, 2, ... without gaps, scores finite, pairs unique."""
     parts = F.split(F.trim("value"), r"\s+")
     at = lambda k: F.get(parts, F.lit(k))
     out = _lines(spark, path).select(F.lit(split).alias("split"), at(0).alias("query_id"), at(2).alias("docid"), at(3).try_cast("long").alias("bm25_rank"), at(4).try_cast("double").alias("bm25_score"), F.size(parts).alias("fields"))
@@ -48,6 +48,10 @@ def read_trec_run(spark: SparkSession, path: str, split: str) -> DataFrame:
     bad = out.where((F.col("fields") != 6) | F.col("bm25_rank").isNull() | (F.col("bm25_rank") < 1) | s.isNull() | F.isnan(s) | (F.abs(s) == float("inf"))).count()
     if bad:
         raise ValueError(f"{path}: {bad} bad lines")
+    per = out.groupBy("query_id").agg(F.count("*").alias("n"), F.max("bm25_rank").alias("high"), F.countDistinct("bm25_rank").alias("ranks"), F.countDistinct("docid").alias("ids"))
+    gaps = [r["query_id"] for r in per.where("high <> n OR ranks <> n OR ids <> n").orderBy("query_id").limit(10).collect()]
+    if gaps:
+        raise ValueError(f"{path}: ranks with gaps or repeats, or repeated documents, of {', '.join(gaps)}")
     return out.drop("fields")
 
 
@@ -76,8 +80,14 @@ def write_lines(lines: DataFrame, path: str, *order: str) -> None:
     lines.orderBy(*order).select("line").write.mode("errorifexists").text(path)
 
 
+def qrels_lines(qrels: DataFrame) -> DataFrame:
+    """Judgments as ``query 0 docid grade``, one line each, for ``write_lines``."""
+    return qrels.select("query_id", "docid", F.format_string("%s 0 %s %d", "query_id", "docid", "relevance_grade").alias("line"))
+
+
 def publish(df: DataFrame, path: str) -> int:
-    """Parquet with zstd beside ``path``, read back, and moved into place only if schema and rows agree."""
+    """Parquet with zstd beside ``path``, read back, and moved into place only if schema and rows agree; what stood there
+    is put aside first and comes back if the move fails."""
     spark = df.sparkSession
     temp = f"{path}.part"
     df.write.mode("overwrite").option("compression", "zstd").parquet(temp)
@@ -88,9 +98,14 @@ def publish(df: DataFrame, path: str) -> int:
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(place, True)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.old")
+    fs.delete(aside, True)
+    had = fs.exists(place) and fs.rename(place, aside)
     if not fs.rename(jvm.org.apache.hadoop.fs.Path(temp), place):
+        if had:
+            fs.rename(aside, place)
         raise OSError(f"can't move {temp} to {path}")
+    fs.delete(aside, True)
     return n
 
 

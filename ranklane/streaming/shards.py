@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklane.sources.corpus import shard_index
+from ranklane.functions.text import is_blank
+from ranklane.sources.corpus import parsed, shard_index
 
 
 def stream_shards(spark: SparkSession, path: str, files_per_batch: int = 16) -> DataFrame:
-    """docid, title, text and shard of new gzip JSON lines files under ``path``."""
+    """shard, docid, title, text and problem of the lines of new files under ``path``, as the batch reader has them: a line
+    with a problem isn't dropped."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
-    row = F.from_json("value", "docid string, title string, text string")
-    return lines.select(row.alias("r"), shard_index(F.col("_metadata.file_path")).alias("shard")).where("r.docid IS NOT NULL").select("r.docid", F.coalesce("r.title", F.lit("")).alias("title"), "r.text", "shard")
+    return parsed(lines.select("value", shard_index(F.col("_metadata.file_path")).alias("shard")).where(~is_blank(F.col("value"))))
 
 
 def ingest(stream: DataFrame, target: str, checkpoint: str):

@@ -1,4 +1,6 @@
-"""Queries over whole topic texts, on a small collection whose last document matches only a late term."""
+"""Topics are scored by their whole texts: a small collection whose last document matches only a late term."""
+
+import math
 
 import pytest
 
@@ -24,13 +26,25 @@ def test_terms_of_the_whole_text(spark):
 
 
 def test_late_terms_find_candidates(spark, sf):
-    found = lambda name: {(r["query_id"], r["docid"]) for r in registry.QUERIES[name](spark, sf).collect()}
-    assert found("bm25_top100_whole_text") == {("1", "1"), ("1", "2"), ("1", "3"), ("4", "1")}
-    assert found("bm25_top100") == {("1", "1"), ("1", "2"), ("4", "1")}  # as its SQL has it
-    assert found("candidates_three_state_whole_text") == found("bm25_top100_whole_text")
-
-
-def test_every_query_over_the_run_has_a_whole_form():
-    over_run = set(registry.ORACLES) - registry.WITHOUT_RUN
-    assert {f"{name}_whole_text" for name in over_run} <= set(registry.QUERIES)
-    assert not any(name.endswith("_whole_text") for name in registry.ORACLES)
+    found = {(r["query_id"], r["docid"]) for r in registry.QUERIES["bm25_top100"](spark, sf).collect()}
+    assert found == {("1", "1"), ("1", "2"), ("1", "3"), ("4", "1")}
+
+
+def test_scores_against_the_formula(spark):
+    docs = {"a": "x y y z", "b": "Y", "c": "", "d": "q q q q x"}
+    passages = spark.createDataFrame([(k, "", t) for k, t in docs.items()], "docid string, title string, text string")
+    topics = spark.createDataFrame([("dev", "1", "y x nowhere"), ("dev", "2", "q")], "split string, query_id string, query_text string")
+    got = {(r["query_id"], r["docid"]): (r["s"], r["matched"], r["n_terms"]) for r in retrieval.bm25_scores(passages, retrieval.query_terms(topics), {"s": (0.9, 0.4)}).collect()}
+    split = {k: t.lower().split() for k, t in docs.items()}
+    mean = sum(map(len, split.values())) / 4
+    want = {}
+    for q, terms in (("1", ["y", "x", "nowhere"]), ("2", ["q"])):
+        for d, words in split.items():
+            hit = [t for t in terms if t in words]
+            if hit:
+                score = 0.0
+                for t in hit:
+                    df, tf = sum(t in w for w in split.values()), words.count(t)
+                    score += round(math.log(1 + (4 - df + 0.5) / (df + 0.5)) * tf / (tf + 0.9 * (0.6 + 0.4 * len(words) / mean)), 9)
+                want[q, d] = (pytest.approx(score, abs=1e-8), len(hit), len(terms))
+    assert got == want
