@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklane.llm import exact_dedup, ngram_join, packing, quality_rules, substring_dedup
-from ranklane.llm.common import materialize, without_ids
+from ranklane.llm.common import discard, materialize, without_ids
 
 #: The near-duplicate stage: words of a shingle, and percent of similarity.
 WORDS, PERCENT = 5, 80
@@ -53,14 +53,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated passages from the texts; a document of which nothing is left goes."""
-    out = substring_dedup.without_repeats(by_row(docs))
-    emptied = (F.col("n_removed") > 0) & (F.length("text") == 0)
-    out = out.where(~emptied)
-    if "n_chars" in docs.columns:
-        changed = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", changed)
-    return by_id(out, docs.columns)
+    """Removes repeated passages from the texts; a document of which nothing is left goes.
+
+    A null or blank text has no passages and stays. ``n_chars`` of a changed text is counted anew; every other column, whatever its
+    name, is kept as it is. Of equal passages the first, by doc_id and place, stays.
+    """
+    rows = by_row(docs)
+    out = substring_dedup.cleaned(rows).where("removed = 0 OR length(body) > 0")
+    own = {c: F.col("own")[c] for c in rows.columns if c != "text"} | {"text": F.col("body")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("removed") > 0, F.length("body").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return by_id(out.select(*[own[c].alias(c) for c in rows.columns]), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,5 +89,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's rows written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return docs
