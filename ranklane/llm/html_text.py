@@ -1,10 +1,16 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a list of text blocks with the elements they lie in. A linear model of a block's features gives
+A page becomes a list of text blocks with the elements they lie in. A logistic model of a block's features gives
 probabilities p (content) and 1 - p (boilerplate); their negative logarithms are the capacities to the two
 terminals. Neighbouring blocks, and consecutive blocks of the same container, get smoothness edges that
-weigh less the farther apart they are in the tree. The minimum cut (max-flow) is the cheapest labelling.
-Blocks whose own costs outweigh all their edges keep their label in any minimum cut and are settled before.
+weigh less the farther apart they are in the tree. The minimum cut (max-flow) is the cheapest labelling: it decides the blocks
+whose own features say little, by their neighbours. Blocks whose own costs outweigh all their edges keep their label in any
+minimum cut and are settled before.
+
+The model is fitted to the pages themselves: in a bounded sample (SAMPLE_PAGES pages of at most SAMPLE_CHARS characters,
+SAMPLE_BLOCKS blocks of each), blocks that stand in a menu, footer, sidebar or the like are examples of boilerplate, and long
+sentences without links within an article examples of content; the model then weighs all features for the other blocks.
+What the sample doesn't show keeps its weight of PRIOR.
 
 Elements that never show article text (scripts, styles, forms and the like) give no blocks. Character references are
 decoded, white space in a block becomes one space, blocks are trimmed and joined by one space. Null html is
@@ -19,11 +25,13 @@ import re
 from collections import deque
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranklane.llm.common import bounded_batches
+from ranklane.llm.linear import fit
 
 #: Elements whose whole inside is dropped.
 DROPPED = frozenset("script style noscript template head title svg math iframe object form select button textarea input option datalist audio video canvas map".split())
@@ -36,11 +44,13 @@ BLOCK = frozenset(
 )
 #: Elements that a new one of the same kind closes.
 SELF_CLOSING = frozenset("p li dt dd tr td th".split())
-#: Weights of the linear model, in log-odds of content.
-WEIGHTS = {
-    "bias": 0.3, "article": 3.0, "main": 2.0, "heading": 0.3, "paragraph": 0.8, "words": 0.5, "sentence": 0.5, "links": -4.0,
-    "nav": -9.0, "footer": -9.0, "header": -7.0, "aside": -8.0, "named": -8.0, "named_content": 1.5, "outside": -2.0,
-}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Features of a block; words is the logarithm of their number, links their share of the characters.
+FEATURES = ("article", "main", "heading", "paragraph", "words", "sentence", "links", "nav", "footer", "header", "aside", "named", "named_content", "outside")
+#: Weights in log-odds of content before anything is learned, and the constant.
+PRIOR = (1.5, 1.0, 0.3, 0.8, 0.6, 0.4, -2.5, -3.5, -3.5, -3.0, -3.5, -3.5, 0.8, -1.5, -1.2)
+#: Pages, characters of a page, and blocks of a page that the model is fitted to, at most; the smallest hashes of the key are taken.
+SAMPLE_PAGES, SAMPLE_CHARS, SAMPLE_BLOCKS = 400, 100_000, 200
 #: Class, id and role names that speak for boilerplate, and for content.
 BAD_NAME = re.compile(
     r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|sidebar|side|menu|nav(?:bar|igation)?|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|comment-?list|replies|respond|disqus|widget|toolbar|pagination|pager|copyright|legal|disclaimer|complementary|contentinfo|search)(?=$|[\s_-]|\d)"
@@ -66,7 +76,7 @@ class Element:
         self.dropped = tag in DROPPED or bool(parent and parent.dropped)
         self.bad, self.good = bool(parent and parent.bad), bool(parent and parent.good)
         self.marks = parent.marks if parent else frozenset()
-        if tag in ("nav", "footer", "header", "aside", "article", "main", "a"):
+        if tag in ("nav", "menu", "footer", "header", "aside", "article", "main", "a"):
             self.marks = self.marks | {"nav" if tag == "menu" else tag}
         if attrs and not self.dropped:
             found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
@@ -149,28 +159,56 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-def content_odds(b: Block, has_article: bool) -> float:
-    """Log-odds of content for one block by the linear model."""
-    e, w = b.element, WEIGHTS
-    n = b.text.count(" ") + 1
-    out = w["bias"] + w["words"] * min(4.0, math.log2(n)) - 1.0 + w["links"] * min(1.0, b.link_chars / max(1, len(b.text)))
-    out += w["sentence"] * (b.text[-1] in ".!?\"'»”)")
-    for tag in ("article", "main", "nav", "footer", "header", "aside"):
-        if tag in e.marks:
-            out += w[tag]
-    if has_article and not e.marks & {"article", "main"}:
-        out += w["outside"]
-    if e.bad:
-        out += w["named"]
-    if e.good:
-        out += w["named_content"]
-    if e.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        out += w["heading"]
-    elif e.tag in ("p", "blockquote", "pre"):
-        out += w["paragraph"]
+def features(found: list[Block]) -> np.ndarray:
+    """FEATURES of the blocks of a page."""
+    has_article = any(b.element.marks & {"article", "main"} for b in found)
+    out = np.zeros((len(found), len(FEATURES)))
+    for row, b in zip(out, found, strict=True):
+        e = b.element
+        own = {tag: tag in e.marks for tag in ("article", "main", "nav", "footer", "header", "aside")}
+        own |= {"heading": e.tag in HEADINGS, "paragraph": e.tag in ("p", "blockquote", "pre"), "named": e.bad, "named_content": e.good}
+        own["words"] = min(4.0, math.log2(b.text.count(" ") + 1))
+        own["sentence"] = b.text[-1] in ".!?\"'»”)"
+        own["links"] = min(1.0, b.link_chars / len(b.text))
+        own["outside"] = has_article and not e.marks & {"article", "main"}
+        row[:] = [own[f] for f in FEATURES]
     return out
 
 
+def examples(x: np.ndarray) -> np.ndarray:
+    """1 for blocks that are surely content, 0 for sure boilerplate, -1 for others, by features."""
+    at = {f: x[:, k] for k, f in enumerate(FEATURES)}
+    bad = at["nav"] + at["footer"] + at["aside"] + at["header"] + at["named"] > 0
+    good = ~bad & (at["article"] + at["main"] > 0) & (at["words"] >= 3) & (at["sentence"] > 0) & (at["links"] < 0.3)
+    return np.where(bad, 0, np.where(good, 1, -1))
+
+
+def fit_weights(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Weights of FEATURES and the constant from examples, near PRIOR where these say little; PRIOR where one kind is missing."""
+    return tuple(fit(x, y, prior=np.array(PRIOR)).tolist()) if len(y) and 0 < y.sum() < len(y) else PRIOR
+
+
+def learn(pages: DataFrame, html: str = "html") -> tuple[float, ...]:
+    """Weights fitted to a bounded sample of ``pages``."""
+    bounded_batches(pages.sparkSession)
+    usable = pages.select("page_id", F.col(html).alias("html")).where(f"page_id IS NOT NULL AND length(html) <= {SAMPLE_CHARS}")
+    ids = usable.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES)
+    chosen = usable.join(F.broadcast(ids), "page_id", "left_semi").groupBy("page_id").agg(F.min("html").alias("html"))
+
+    def described(batches):
+        for b in batches:
+            rows = []
+            for html in b.column(1).to_pylist():
+                x = features(blocks(html))
+                y = examples(x)
+                rows += [(*v, float(k)) for v, k in zip(x[y >= 0][:SAMPLE_BLOCKS].tolist(), y[y >= 0][:SAMPLE_BLOCKS].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["row"])
+
+    rows = np.array([r.row for r in chosen.mapInArrow(described, "row array<double>").collect()]).reshape(-1, len(FEATURES) + 1)
+    rows = rows[np.lexsort(rows.T)]  # the same sums in any order of rows
+    return fit_weights(rows[:, :-1], rows[:, -1])
+
+
 def _distance(a: Element, b: Element) -> int:
     d = 0
     while a is not b:
@@ -183,7 +221,7 @@ def _distance(a: Element, b: Element) -> int:
 
 
 def container(e: Element) -> Element:
-    while e.parent is not None and (e.tag not in BLOCK or e.tag in SELF_CLOSING or e.tag.startswith("h")):
+    while e.parent is not None and (e.tag not in BLOCK or e.tag in SELF_CLOSING or e.tag in HEADINGS):
         e = e.parent
     return e
 
@@ -257,43 +295,63 @@ def minimum_cut(odds: list[float], smooth: dict[tuple[int, int], float]) -> list
 
 
 def max_flow(cap: list[dict[int, float]], s: int, t: int) -> float:
-    """Edmonds-Karp on residual capacities, in place."""
+    """Dinic's algorithm on residual capacities, in place: shortest paths of one length at a time, without recursion."""
     total = 0.0
     while True:
-        came, todo = {s: s}, deque([s])
-        while todo and t not in came:
+        level, todo = {s: 0}, deque([s])
+        while todo:
             a = todo.popleft()
             for b, c in cap[a].items():
-                if c > 1e-9 and b not in came:
-                    came[b] = a
+                if c > 1e-9 and b not in level:
+                    level[b] = level[a] + 1
                     todo.append(b)
-        if t not in came:
+        if t not in level:
             return total
-        path, b = [], t
-        while b != s:
-            path.append((came[b], b))
-            b = came[b]
-        push = min(cap[a][b] for a, b in path)
-        for a, b in path:
-            cap[a][b] -= push
-            cap[b][a] = cap[b].get(a, 0.0) + push
-        total += push
-
-
-def main_text(html: str | None) -> str:
+        left = {a: [b for b in cap[a] if level.get(b) == level[a] + 1] for a in level}  # steps not yet tried
+        path = [s]
+        while path:
+            a = path[-1]
+            if a == t:
+                push = min(cap[x][y] for x, y in zip(path, path[1:]))
+                total += push
+                cutoff = 0
+                for k, (x, y) in enumerate(zip(path, path[1:])):
+                    cap[x][y] -= push
+                    cap[y][x] = cap[y].get(x, 0.0) + push
+                    if cap[x][y] <= 1e-9 and not cutoff:
+                        cutoff = k + 1
+                del path[cutoff:]
+                continue
+            while left[a] and cap[a][left[a][-1]] <= 1e-9:
+                left[a].pop()
+            if left[a]:
+                path.append(left[a][-1])
+            else:
+                path.pop()
+                if path:
+                    left[path[-1]].pop()
+
+
+def labelled(html: str | None, weights: tuple[float, ...] = PRIOR) -> tuple[list[Block], list[bool], np.ndarray]:
+    """The blocks of a page, whether each is content, and each block's own log-odds of it."""
     found = blocks(html or "")
-    has_article = any(b.element.marks & {"article", "main"} for b in found)
-    labels = minimum_cut([content_odds(b, has_article) for b in found], edges(found))
+    odds = features(found) @ np.array(weights[:-1]) + weights[-1]
+    return found, minimum_cut(odds.tolist(), edges(found)), odds
+
+
+def main_text(html: str | None, weights: tuple[float, ...] = PRIOR) -> str:
+    found, labels, _ = labelled(html, weights)
     return " ".join(b.text for b, keep in zip(found, labels, strict=True) if keep)
 
 
-def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
-    """page_id, url, text and n_chars of every row."""
+def extract_text(pages: DataFrame, html: str = "html", weights: tuple[float, ...] | None = None) -> DataFrame:
+    """page_id, url, text and n_chars of every row; the weights are fitted to the pages unless given."""
+    weights = weights or learn(pages, html)
     bounded_batches(pages.sparkSession)
 
     def extracted(batches):
         for b in batches:
-            texts = [main_text(x) for x in b.column(2).to_pylist()]
+            texts = [main_text(x, weights) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     out = pages.select("page_id", "url", F.col(html).alias("html")).mapInArrow(extracted, "page_id long, url string, text string")

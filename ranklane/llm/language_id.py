@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from ranklane.llm.common import bounded_batches
 
-#: Labelled rows that the filters are learned from at most; the smallest hashes of the key are taken.
-SAMPLE_ROWS = 4000
+#: Labelled rows that the filters are learned from at most (the smallest hashes of the key are taken), and characters of each.
+SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
 #: Slots of the filter (a power of two), and the multipliers of its hash functions.
 SLOT_BITS = 20
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
@@ -131,12 +131,14 @@ def has_letter(text: bytes) -> bool:
 
 
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageFilter:
-    """Filters from at most ``sample_rows`` of the rows (doc_id, text, lang) with language and text."""
-    order = [F.xxhash64(F.col("doc_id")), F.col("doc_id")]
-    chosen = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang").orderBy(*order).limit(sample_rows)
-    ids = [r.doc_id for r in chosen.select("doc_id").distinct().collect()]
-    rows = docs.where(F.col("doc_id").isin(ids) & F.col("lang").isNotNull()).select("lang", "text").collect() if ids else []
-    return LanguageFilter(sorted(map(tuple, rows)))
+    """Filters from at most ``sample_rows`` of the rows (doc_id, text, lang) with language and text of at most SAMPLE_CHARS.
+
+    Of rows that share an id one counts.
+    """
+    usable = docs.where(f"lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL AND length(text) <= {SAMPLE_CHARS}")
+    ids = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    chosen = usable.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row"))
+    return LanguageFilter(sorted((r.lang, r.text) for r in chosen.select("row.lang", "row.text").collect()))
 
 
 def identify(docs: DataFrame, filters: LanguageFilter) -> DataFrame:

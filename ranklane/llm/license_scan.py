@@ -76,7 +76,7 @@ def fuzzy_spans(text: str, notices: tuple[tuple[str, str], ...]) -> list[tuple[s
             lo, hi = max(0, start - edits), start + len(notices[k][0]) + edits
             own = windows.setdefault(k, [])
             if own and lo <= own[-1][1]:
-                own[-1][1] = max(own[-1][1], hi)
+                own[-1] = [min(own[-1][0], lo), max(own[-1][1], hi)]
             else:
                 own.append([lo, hi])
     out = []
@@ -92,17 +92,17 @@ def scan_text(raw: bytes | None, notices=tuple(NOTICES.items()), phrases=PHRASES
     words = (raw or b"").translate(_TABLE).split()
     text = b" ".join(words)
     starts, base = [], set()
-    if b"license" in text:
-        spelled = [(tuple(w.encode() for w in p), label) for p, label in phrases.items()]
-        i = -1
-        while True:
-            try:
-                i = words.index(b"license", i + 1)
-            except ValueError:
-                break
-            for p, label in spelled:
-                if i + 1 >= len(p) and tuple(words[i + 1 - len(p) : i + 1]) == p:
-                    starts.append(i + 1 - len(p))
+    for p, label in phrases.items():
+        spelled = [w.encode() for w in p]
+        if b" ".join(spelled) in text:  # in all but few texts no word is looked at
+            i = -1
+            while True:
+                try:
+                    i = words.index(spelled[0], i + 1)
+                except ValueError:
+                    break
+                if words[i : i + len(p)] == spelled:
+                    starts.append(i)
                     base.add(label)
     spans = fuzzy_spans(text.decode("utf-8", "replace"), notices)
     best = max([1.0] * bool(starts) + [1 - e / (b - a) for _, a, b, e in spans if b > a], default=0.0)

@@ -5,11 +5,12 @@ presence of words and stems; the probabilities of earlier categories are further
 those probabilities are out-of-fold: each row's come from models that haven't seen the row, so the
 later models meet inputs like those at prediction time. The last category is ``toxic`` itself.
 
-Training takes at most SAMPLE_ROWS labelled rows; scoring covers every whole text. Only the label ``toxic``
-is given, so the categories before it are weak labels: a labelled toxic text with a word of the category's
-short list (parameters). Words are runs of letters, A-Z lower-cased. Null or empty text has no words and
-gets the models' intercepts. Without any labelled row all probabilities are 0. Rows that repeat score alike;
-an empty table gives an empty table; further columns are ignored.
+Training takes at most SAMPLE_ROWS labelled rows, none with more than SAMPLE_CHARS characters of text; scoring covers every whole
+text. Only the label ``toxic`` is given, so the categories before it are found in the labelled rows: the toxic ones are split by
+the main directions in which their telling words vary, and each side of a direction is a kind of toxicity. No word is given
+beforehand. Words are runs of letters, A-Z lower-cased. Null or empty text has no words and
+gets the models' intercepts. Without any labelled row all probabilities are 0. Rows that repeat score alike; a document with
+several labels is toxic if one says so; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranklane.llm.common import bounded_batches
+from ranklane.llm.linear import apply, fit
 
 #: Labelled rows to learn from at most; the smallest hashes of the key are taken.
 SAMPLE_ROWS = 6000
@@ -31,13 +33,11 @@ VOCABULARY, MIN_TEXTS = 256, 5
 #: Bytes of the stems that are features beside the words.
 STEM = 4
 FOLDS = 3
-L2 = 1.0
-#: Weak labels of the categories before ``toxic``.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "loser", "clown", "stupid"),
-    "contempt": ("trash", "disgusting", "scum", "worthless", "pathetic"),
-}
-CHAIN = (*CATEGORIES, "toxic")
+#: Characters of a text that is learned from, at most.
+SAMPLE_CHARS = 100_000
+#: Kinds of toxicity before ``toxic``, and the toxic rows that a kind must have to differ from ``toxic``.
+KINDS, MIN_KIND = 2, 10
+CHAIN = (*(f"kind_{k + 1}" for k in range(KINDS)), "toxic")
 THRESHOLD = 0.5
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -49,26 +49,6 @@ def word_set(text: bytes | None) -> set[bytes]:
     return words | {w[:STEM] + b"*" for w in words if len(w) > STEM}
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights (intercept last) of a ridge-penalised logistic regression, by Newton's steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], L2)
-    ridge[-1] = 1e-6
-    for _ in range(12):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        s = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((x * s[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
-        w -= step
-        if np.abs(step).max() < 1e-4:
-            break
-    return w
-
-
-def apply(w: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-
-
 class Coded:
     """Word sets of training rows as numbers: row and word of every entry."""
 
@@ -111,6 +91,27 @@ def presence(sets: list[set[bytes]], words: list[bytes]) -> np.ndarray:
     return out
 
 
+def kinds(coded: Coded, toxic: np.ndarray) -> list[np.ndarray]:
+    """0/1 labels of KINDS kinds of toxic rows: the positive side of each main direction of their telling words.
+
+    A kind of under MIN_KIND rows is all toxic rows.
+    """
+    n, rows = len(toxic), toxic > 0
+    words = coded.vocabulary(np.ones(n, bool), toxic)
+    x = coded.presence(words, n)[rows]
+    out = [toxic.copy() for _ in range(KINDS)]
+    if min(x.shape) > KINDS:
+        x = x - x.mean(axis=0)
+        _, axes = np.linalg.eigh(x.T @ x)
+        for k in range(KINDS):
+            axis = axes[:, -1 - k]
+            axis = axis * np.sign(axis[np.argmax(np.abs(axis))])  # the sign is the word's that weighs most
+            side = x @ axis > 0
+            if min(side.sum(), (~side).sum()) >= MIN_KIND:
+                out[k][rows] = side
+    return out
+
+
 @dataclass
 class Link:
     """One category's model: its words, and weights for words, earlier probabilities and intercept."""
@@ -129,11 +130,8 @@ class Chain:
         self.links: list[Link] = []
         n, coded = len(sets), Coded(sets)
         earlier = np.zeros((n, 0))
-        for name in CHAIN if n else ():
-            y = toxic.astype(float)
-            if name in CATEGORIES:
-                listed = {w.encode() for w in CATEGORIES[name]}
-                y = y * np.array([bool(s & listed) for s in sets])
+        targets = [*kinds(coded, toxic.astype(float)), toxic.astype(float)] if n else []
+        for y in targets:
             outside = np.zeros(n)
             for f in [*range(FOLDS), None]:  # the words are chosen within the fold too; at last all rows
                 rows = folds != f if f is not None else np.ones(n, bool)
@@ -177,7 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                     sets = [b" ".join(sorted(word_set(x))) for x in part.column(1).cast(pa.binary()).to_pylist()]
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["doc_id", "words"])
 
-        rows = sorted((r.doc_id, bytes(r.words)) for r in docs.select("doc_id", "text").mapInArrow(pick, "doc_id long, words binary").collect())
+        short = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
+        rows = sorted((r.doc_id, bytes(r.words)) for r in short.mapInArrow(pick, "doc_id long, words binary").dropDuplicates(["doc_id"]).collect())
     sets = [set(w.split()) for _, w in rows]
     y = np.array([toxic[k] for k, _ in rows])
     return Chain(sets, y, np.array([xxhash.xxh32_intdigest(str(k)) % FOLDS for k, _ in rows]))
