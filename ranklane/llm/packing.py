@@ -6,7 +6,7 @@ is packed. Pieces are dealt to partitions of a bounded number of pieces; each is
 dual-feasible function f maps sizes so that what fits into one bin sums to at most 1: the sum over a
 partition, rounded up, bounds its bins from below. Where bins and bound agree the partition is certified
 optimal and final. From the others ("gaps"), the documents in their least filled bins are pooled,
-dealt anew to fewer partitions and packed again, for a bounded number of rounds; the rest stays.
+dealt anew to fewer partitions and packed again, for a bounded number of rounds, as long as that saves bins; the rest stays.
 
 Null text is empty text: one piece of length 1, the separator. Rows that repeat are packed as often
 as they occur. An empty table gives an empty table; further columns are ignored.
@@ -14,7 +14,6 @@ as they occur. An empty table gives an empty table; further columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -25,88 +24,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranklane.llm.common import bounded_batches, keyed_text, materialize
+from ranklane.llm.parts import gather, text_units
 
 #: Tokens of a sequence, the id that ends a document, and pieces packed together.
 CAPACITY, END, GROUP = 1024, 2, 32768
 #: Rounds of exchange between partitions with gaps.
 ROUNDS = 2
-#: Parts of text whose ids a worker remembers (about 200 MB).
-CACHE = 1_000_000
+#: Bytes of text that are encoded together.
+CHUNK_BYTES = 12 << 20
 SPECIAL = "<|endoftext|>"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Tokens:
-    """Ids of a text as packed 32-bit numbers, as the tokenizer gives them.
+    """Ids of texts, as the tokenizer gives them.
 
-    A text is cut before each single space between other characters: no word of the byte-level pattern
-    spans such a place, so the ids of the parts follow one another. The ids of the first CACHE parts are
-    remembered. New parts without line breaks are encoded many at once, a line break between two: it is a
-    word of its own there, and its id tells where a part ends.
+    The ids of a text's parts follow one another. The distinct parts of many texts are encoded together, a line break
+    between two: it is a word of its own there, and its id tells where a part ends. Nothing is remembered from one
+    call to the next.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
-    def parts(self, text: str) -> list[str]:
-        if SPECIAL in text:
-            return [text]
-        first, *rest = text.split(" ")
-        out = [first] if first else []
-        out += [" " + x for x in rest]
-        # beside other white space the cut isn't safe: such parts are joined again
-        if not any(x in text for x in _BESIDE) and (text.isascii() or not _OTHER_SPACE.search(text)):
-            return out
-        joined: list[str] = []
-        for x in out:
-            if joined and (len(x) < 2 or x[1].isspace() or joined[-1][-1].isspace()):
-                joined[-1] += x
-            else:
-                joined.append(x)
-        return joined
-
-    def fresh(self, parts: list[str]) -> list[bytes]:
-        """The ids of parts that aren't remembered."""
-        out: dict[str, bytes] = {}
-        plain = [p for p in parts if "\n" not in p and SPECIAL not in p]
-        groups = [plain[k : k + 2000] for k in range(0, len(plain), 2000)] if len(self.line) == 1 else []
-        for own, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            raw, ends = ids.tobytes(), np.flatnonzero(ids == self.line[0]).tolist()
+    def encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts one after the other, and how many each has."""
+        plain = [k for k, p in enumerate(parts) if "\n" not in p and SPECIAL not in p] if len(self.line) == 1 else []
+        groups = [plain[k : k + 2000] for k in range(0, len(plain), 2000)]
+        ids, which, counts = [], [], []
+        done = np.zeros(len(parts), bool)
+        for own, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join([parts[k] for k in g]) for g in groups], add_special_tokens=False), strict=True):
+            all_ = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(all_ == self.line[0])
             if len(ends) == len(own) - 1:
-                out.update(zip(own, (raw[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in ends)], [*ends, len(ids)], strict=True)), strict=True))
-        rest = [p for p in parts if p not in out]
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            out[p] = np.array(e.ids, "<u4").tobytes()
-        return [out[p] for p in parts]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [self.parts(t) for t in texts]
-        known = self.known
-        new = list(set().union(*split) - known.keys())
-        found = dict(zip(new, self.fresh(new), strict=True))
-        room = CACHE - len(known)
-        known.update(found if len(found) <= room else list(found.items())[:room])
-        if len(found) <= room:
-            return [b"".join([known[p] for p in parts]) for parts in split]
-        return [b"".join([known.get(p) or found[p] for p in parts]) for parts in split]
-
-
-#: A space beside other white space, and white space beyond ASCII.
-_BESIDE = tuple(x for c in "\t\n\x0b\x0c\r" for x in (" " + c, c + " ")) + ("  ",)
-_OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_TOKENS: dict[str, Tokens] = {}
-
-
-def tokens(path: str) -> Tokens:
-    """One tokenizer for each Python worker, so that what it remembers lasts over tasks."""
-    if path not in _TOKENS:
-        _TOKENS[path] = Tokens(path)
-    return _TOKENS[path]
+                ids.append(np.delete(all_, ends))
+                counts.append(np.diff(np.concatenate([[-1], ends, [len(all_)]])) - 1)
+                which.append(own)
+                done[own] = True
+        rest = np.flatnonzero(~done).tolist()
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([parts[k] for k in rest], add_special_tokens=False), strict=True):
+            ids.append(np.array(e.ids, np.uint32))
+            counts.append(np.array([len(e.ids)]))
+            which.append([k])
+        if not parts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        order = np.concatenate(which).astype(np.int64)
+        n = np.concatenate(counts).astype(np.int64)
+        sizes = np.zeros(len(parts), np.int64)
+        sizes[order] = n
+        starts = np.zeros(len(parts), np.int64)
+        starts[order] = np.cumsum(n) - n
+        return gather(np.concatenate(ids), starts, sizes, np.arange(len(parts))), sizes
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after the other, and where each text's begin (one more at the end)."""
+        units, codes, bounds = text_units(texts, special=SPECIAL)
+        flat, sizes = self.encode_parts(units)
+        ends = np.concatenate([[0], np.cumsum(sizes[codes])])
+        return gather(flat, np.cumsum(sizes) - sizes, sizes, codes), ends[bounds]
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -117,22 +95,35 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def document_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, ids: bool = False) -> DataFrame:
     """The pieces of every document with the checksum of their ids, and the ids where asked for."""
-    bounded_batches(docs.sparkSession, 2000, 8 << 20)
+    bounded_batches(docs.sparkSession, 2000, 4 << 20)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * ids
     tail = np.array([end], "<u4").tobytes()
 
     def pieces(batches):
-        own = tokens(path)
-        for b in batches:
-            rows = []
-            for doc_id, packed in zip(b.column(0).to_pylist(), own.encode_all([x or "" for x in b.column(1).to_pylist()]), strict=True):
-                packed += tail
-                for k, (start, length) in enumerate(cut(len(packed) // 4, capacity)):
+        own = Tokens(path)
+        held, size = [], 0
+
+        def rows():
+            found = []
+            table = pa.Table.from_batches(held).combine_chunks()
+            flat, at = own.encode_all(table.column(1).combine_chunks())
+            for k, doc_id in enumerate(table.column(0).to_pylist()):
+                packed = flat[at[k] : at[k + 1]].astype("<u4").tobytes() + tail
+                for n, (start, length) in enumerate(cut(len(packed) // 4, capacity)):
                     part = packed[4 * start : 4 * (start + length)]
-                    rows.append((doc_id, k, start, length, zlib.crc32(part)) + ((np.frombuffer(part, "<i4"),) if ids else ()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    found.append((doc_id, n, start, length, zlib.crc32(part)) + ((np.frombuffer(part, "<i4"),) if ids else ()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names)
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.column(1).nbytes
+            if size >= CHUNK_BYTES:
+                yield rows()
+                held, size = [], 0
+        if held:
+            yield rows()
 
     return keyed_text(docs).mapInArrow(pieces, PIECES + ", ids array<int>" * ids)
 
@@ -194,47 +185,54 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, n
 
 
 def _pack_group(final: bool, capacity: int):
-    """Packs one partition; rows of a gap partition's least filled bins come back without a place."""
+    """Packs one partition; the rows of a gap partition's least filled bins are marked as loose."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "ids_crc32"], ascending=[False, True, True], na_position="last").reset_index(drop=True)
         sizes = pdf["length"].to_numpy(np.int64)
         bins, offsets, room = best_fit(sizes, capacity)
         bound = lower_bound(sizes, capacity)
-        placed = np.ones(len(pdf), bool)
+        loose = np.zeros(len(pdf), bool)
         gap = len(room) - bound
         if gap > 0 and not final:
             # beside the bins above the bound, twice as many give their documents up, so that sizes can mix
-            loose = np.argsort(-room, kind="stable")[: 3 * gap]
-            placed = ~np.isin(bins, loose)
-        return pdf.assign(bin=np.where(placed, bins, -1), offset=np.where(placed, offsets, -1), bound=bound, bins=len(room))
+            loose = np.isin(bins, np.argsort(-room, kind="stable")[: 3 * gap])
+        return pdf.assign(bin=bins, offset=offsets, bound=bound, bins=len(room), loose=loose)
 
     return pack
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """``pieces`` (PIECES, each once) with sequence_id and offset.
+    """``pieces`` (PIECES, each once) with sequence_id and offset, and bins and bound of the partition that packed it
+    (null for a full piece): where they agree, the partition is certified optimal.
 
-    Sequence ids are unique over rounds and partitions: bits for round and partition come before the bin's.
+    Sequence ids are unique over rounds and partitions: bits for round and partition come before the bin's. Loose rows that
+    would need as many bins again, or more, keep their places.
     """
-    out = []
+    names = [c.split()[0] for c in PIECES.split(", ")]
+    none = F.lit(None).cast("long")
     full = pieces.where(F.col("length") == capacity)
-    # a full piece's own number: document, piece and start
-    out.append(full.withColumns({"sequence_id": -F.monotonically_increasing_id() - 1, "offset": F.lit(0).cast("long")}))
+    out = [full.select(*names, (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), none.alias("bins"), none.alias("bound"))]
     rest = pieces.where(F.col("length") < capacity)
-    schema = PIECES + ", part long, bin long, offset long, bound long, bins long"
+    schema = PIECES + ", part long, bin long, offset long, bound long, bins long, loose boolean"
+    before, held = None, 0
     for k in range(rounds + 1):
         total = rest.count()
         if not total:
             break
         parts = max(1, -(-total // group))
-        dealt = rest.select("*", F.pmod(F.xxhash64("doc_id", "piece", F.lit(k)), F.lit(parts)).alias("part"))
+        dealt = rest.select(*names, F.pmod(F.xxhash64("doc_id", "piece", F.lit(k)), F.lit(parts)).alias("part"))
         last = k == rounds or (k > 0 and parts == 1)
         packed = materialize(dealt.groupBy("part").applyInPandas(_pack_group(last, capacity), schema), f"pack{k}")
-        done = packed.where("bin >= 0")
+        if before is not None and packed.groupBy("part").agg(F.max("bins").alias("bins")).agg(F.sum("bins")).first()[0] >= held:
+            out.append(before)
+            break
         number = F.lit(k) * F.lit(1 << 56) + F.col("part") * F.lit(1 << 24) + F.col("bin")
-        out.append(done.select(*[c.split()[0] for c in PIECES.split(", ")], number.alias("sequence_id"), "offset"))
-        rest = packed.where("bin < 0").select(*[c.split()[0] for c in PIECES.split(", ")])
+        placed = packed.select(*names, number.alias("sequence_id"), "offset", "bins", "bound", "part", "bin", "loose")
+        columns = placed.columns[:-3]
+        out.append(placed.where("NOT loose").select(*columns))
+        rest = placed.where("loose")
+        before, held = rest.select(*columns), rest.select("part", "bin").distinct().count()
         if last:
             break
     joined = out[0]
