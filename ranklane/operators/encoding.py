@@ -44,6 +44,15 @@ def score_pairs(pairs: DataFrame, scorer: Scorer = lexical_scorer) -> DataFrame:
     return ordered.mapInPandas(scorer, "query_id string, docid string, score float")
 
 
+def sequences_once(pairs: DataFrame, most: int = 40) -> DataFrame:
+    """Each distinct document of a query's pairs once, as split, query_id, docid; more than ``most`` of a query are an error when
+    rows are computed."""
+    both = pairs.select("split", "query_id", F.explode(F.array("positive_docid", "negative_docid")).alias("docid")).distinct()
+    n = F.count("*").over(Window.partitionBy("split", "query_id"))
+    said = F.raise_error(F.concat(F.lit("too many sequences of query "), F.col("query_id"))).cast("string")
+    return both.withColumn("n", n).select("split", "query_id", F.when(F.col("n") > most, said).otherwise(F.col("docid")).alias("docid"))
+
+
 def length_batches(df: DataFrame, size: int = 64) -> DataFrame:
     """Batches of ``size`` by (tokens_after, docid) within a query shard, and the tokens they cost with padding."""
     w = Window.partitionBy("shard").orderBy("tokens_after", "query_id", "docid")

@@ -52,3 +52,35 @@ def fingerprint(components: dict, required: set[str]) -> str:
     if set(components) != required:
         raise ValueError(f"missing {sorted(required - set(components))}, unexpected {sorted(set(components) - required)}")
     return canonical_digest(components)
+
+
+def declared_digests(value, path: str = "") -> dict[str, str]:
+    """path -> digest of everything that a nested report declares (objects with ``path`` and ``sha256``); two digests of one path are an error."""
+    out: dict[str, str] = {}
+    todo = [value]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, dict):
+            if isinstance(at.get("path"), str) and isinstance(at.get("sha256"), str) and out.setdefault(at["path"], at["sha256"]) != at["sha256"]:
+                raise ValueError(f"two digests of {at['path']}")
+            todo += at.values()
+        elif isinstance(at, list):
+            todo += at
+    return out
+
+
+def event_digest(event: dict) -> str:
+    return canonical_digest({k: v for k, v in event.items() if k != "digest"})
+
+
+def append_event(ledger: list[dict], event: dict, ts: str) -> list[dict]:
+    """``ledger`` with one more event, after its whole chain was verified: sequence, previous digest, own digest, and times that don't fall."""
+    previous, last = None, ""
+    for k, e in enumerate(ledger, 1):
+        if e["sequence"] != k or e["previous"] != previous or e["digest"] != event_digest(e) or e["ts"] < last:
+            raise ValueError(f"the chain is broken at event {k}")
+        previous, last = e["digest"], e["ts"]
+    if ts < last:
+        raise ValueError("the new event is older than the last")
+    new = event | {"sequence": len(ledger) + 1, "previous": previous, "ts": ts}
+    return [*ledger, new | {"digest": event_digest(new)}]

@@ -84,3 +84,12 @@ def set_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
         F.count_if(F.col("in_left").isNull()).alias("only_right"),
         F.countDistinct("query_id").alias("query_count"),
     ).withColumn("equal", (F.col("only_left") == 0) & (F.col("only_right") == 0))
+
+
+def annotation_violations(topics: DataFrame, qrels: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """Checks of given annotations: the numbers of topics and judgments, duplicates, the domain of grades, judgments of no topic."""
+    t = violations(topics, {"blank_topic": is_blank(F.col("query_text"))}, {"duplicate_topic": ["query_id"]})
+    q = violations(qrels, {"grade": F.col("relevance_grade").isNull() | ~F.col("relevance_grade").isin(0, 1)}, {"duplicate_judgment": ["query_id", "docid"]})
+    lost = qrels.join(topics.select("query_id"), "query_id", "left_anti").agg(F.count("*").alias("violations")).select(F.lit("unknown_topic").alias("check"), "violations")
+    n = lambda df, name: df.agg(F.abs(F.count("*") - expected[name]).alias("violations")).select(F.lit(f"{name}_count").alias("check"), "violations")
+    return t.unionByName(q).unionByName(lost).unionByName(n(topics, "topics")).unionByName(n(qrels, "judgments"))

@@ -346,6 +346,18 @@ def zero_judged_queries(spark, sf):
     return tb.topics(spark, sf).join(known, "query_id", "left_anti").select("split", "query_id", "query_text")
 
 
+@query(
+    "annotation_violations",
+    """SELECT unnest(['blank_topic', 'duplicate_topic', 'grade', 'duplicate_judgment', 'unknown_topic', 'topics_count', 'judgments_count']) AS "check", unnest([0, 0, g, 0, u, abs(t - 30), abs(n - 1000)]) AS violations FROM
+    (SELECT count(*) FILTER (WHERE x NOT IN (0, 1)) AS g, count(*) FILTER (WHERE CAST(query_id AS INT) % 5 = 2) AS u, count(*) AS n FROM (SELECT query_id, CASE WHEN CAST(docid AS BIGINT) % 50 = 0 THEN 2 ELSE relevance_grade END AS x FROM qrels)), (SELECT count(*) AS t FROM topics WHERE CAST(query_id AS INT) % 5 <> 2)""",
+)
+def annotation_violations(spark, sf):
+    """Given annotations against expected numbers; some topics are taken out and some grades bent, so that there is something to find."""
+    bent = F.when(F.col("docid").cast("long") % 50 == 0, 2).otherwise(F.col("relevance_grade"))
+    topics = tb.topics(spark, sf).where("CAST(query_id AS INT) % 5 <> 2")
+    return quality.annotation_violations(topics, tb.qrels(spark, sf).withColumn("relevance_grade", bent), {"topics": 30, "judgments": 1000})
+
+
 @query(
     "positives_distribution",
     "SELECT CAST(min(n) AS DOUBLE) AS minimum, quantile_cont(n, 0.5) AS median, quantile_cont(n, 0.9) AS p90, CAST(max(n) AS DOUBLE) AS maximum FROM (SELECT query_id, count(*) FILTER (WHERE relevance_grade > 0) AS n FROM qrels GROUP BY 1)",
@@ -725,6 +737,27 @@ def pair_exclusions(spark, sf):
     return rows.groupBy("split", reason.alias("reason")).agg(F.count("*").alias("queries"))
 
 
+@query("score_group_sequences", "SELECT split, query_id, count(DISTINCT docid) AS sequences FROM (SELECT split, query_id, positive_docid AS docid FROM pairs_weak UNION ALL SELECT split, query_id, negative_docid FROM pairs_weak) GROUP BY 1, 2")
+def score_group_sequences(spark, sf):
+    """How many sequences of each query are scored, each once."""
+    return encoding.sequences_once(pairs_weak_hash_mode(spark, sf)).groupBy("split", "query_id").agg(F.count("docid").alias("sequences"))
+
+
+@query("factor_distribution", "SELECT relevant_bucket, has_judged_negative, count(*) AS n, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 9) AS fraction FROM qstrata GROUP BY 1, 2")
+def factor_distribution(spark, sf):
+    """Queries of every pair of factors, and their share."""
+    rows = query_strata(spark, sf).groupBy("relevant_bucket", "has_judged_negative").agg(F.count("*").alias("n"))
+    total = rows.agg(F.sum("n").alias("total"), F.lit(1).alias("k"))
+    return metrics.rounded(rows.withColumn("k", F.lit(1)).join(total, "k").select("relevant_bucket", "has_judged_negative", "n", (F.col("n") / F.col("total")).alias("fraction")))
+
+
+@query("weak_share_summary", "SELECT round(min(w), 9) AS low, round(quantile_cont(w, 0.5), 9) AS median, round(max(w), 9) AS high, count(*) FILTER (WHERE w = 0) AS without_weak, count(*) FILTER (WHERE w = 1) AS only_weak FROM (SELECT sum(CASE WHEN negative_source = 'weak' THEN CAST(pair_weight AS DOUBLE) ELSE 0 END) / sum(CAST(pair_weight AS DOUBLE)) AS w FROM pairs_weak GROUP BY split, query_id)")
+def weak_share_summary(spark, sf):
+    """Distribution of the weak share over queries."""
+    w = F.col("weak_share")
+    return metrics.rounded(weak_share(spark, sf).agg(F.min(w).alias("low"), F.expr("percentile(weak_share, 0.5)").alias("median"), F.max(w).alias("high"), F.count_if(w == 0).alias("without_weak"), F.count_if(w == 1).alias("only_weak")))
+
+
 @query("rank_histogram", "SELECT b.bucket, count(p.bm25) AS n FROM (SELECT unnest(['1-25', '26-50', '51-75', '76-100']) AS bucket) b LEFT JOIN (SELECT negative_bm25_rank AS bm25, CASE WHEN negative_bm25_rank <= 25 THEN '1-25' WHEN negative_bm25_rank <= 50 THEN '26-50' WHEN negative_bm25_rank <= 75 THEN '51-75' ELSE '76-100' END AS bucket FROM pairs_weak) p ON p.bucket = b.bucket GROUP BY 1")
 def rank_histogram(spark, sf):
     r = F.col("negative_bm25_rank")
@@ -833,6 +866,18 @@ def accumulation_windows(spark, sf):
     return encoding.windows(tb.topics(spark, sf).where("split = 'train'"), 20260803, 1)
 
 
+@query(
+    "window_losses",
+    """SELECT w."window", count(*) AS queries, round(avg(loss), 9) AS loss FROM (SELECT query_id, (row_number() OVER (ORDER BY sha256('20260804|' || query_id), query_id) - 1) // 16 AS "window" FROM (SELECT DISTINCT query_id FROM pairs_weak WHERE split = 'train')) w JOIN
+    (SELECT p.query_id, sum(wt * (greatest(x, 0) + ln(1 + exp(-abs(x))))) / sum(wt) AS loss FROM (SELECT p.query_id, CAST(pair_weight AS DOUBLE) AS wt, CAST(n.score AS DOUBLE) - CAST(s.score AS DOUBLE) AS x FROM pairs_weak p JOIN lex s ON s.query_id = p.query_id AND s.docid = p.positive_docid JOIN lex n ON n.query_id = p.query_id AND n.docid = p.negative_docid WHERE p.split = 'train') p GROUP BY 1) l ON l.query_id = w.query_id GROUP BY 1""",
+)
+def window_losses(spark, sf):
+    """Mean loss of each accumulation window over the queries that it has; the last one may have fewer."""
+    losses = pairwise_loss(spark, sf).where("split = 'train'")
+    w = encoding.windows(losses.select("query_id"), 20260803, 1)
+    return metrics.rounded(w.join(losses, "query_id").groupBy("window").agg(F.count("*").alias("queries"), F.avg("loss").alias("loss")))
+
+
 @query("scorer_udf_scores")
 def scorer_udf_scores(spark, sf):
     return encoding.score_pairs(texts(spark, sf))

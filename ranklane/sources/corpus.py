@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,22 @@ def shard_index(path):
     return F.regexp_extract(path, SHARD, 1).cast("int")
 
 
+def local_shards(spark: SparkSession, folder: str, expected: dict[str, int] | None = None) -> list[str]:
+    """Paths of the shards of a folder (any file system that Spark reads) in the order of their numbers.
+
+    With ``expected`` (name -> bytes) a missing shard, another one, or another size is an error. Another source of shards
+    is a function with the same result.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {x.getPath().getName(): (x.getPath().toString(), x.getLen()) for x in fs.listStatus(place) if re.search(SHARD, x.getPath().getName())}
+    if expected is not None:
+        bad = sorted(set(expected) - set(found)) + sorted(set(found) - set(expected)) + [f"{k} of {found[k][1]} bytes" for k in sorted(set(found) & set(expected)) if found[k][1] != expected[k]]
+        if bad:
+            raise ValueError("missing, unknown or changed shards: " + ", ".join(bad))
+    return [found[k][0] for k in sorted(found, key=lambda k: int(re.search(SHARD, k)[1]))]
+
+
 def parsed(lines: DataFrame) -> DataFrame:
     """shard, docid, title, text and ``problem`` (null: valid) of lines (shard, value).
 
