@@ -109,9 +109,13 @@ def shingles(text, words):
     return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize(("words", "percent", "few"), [(3, 90, 12), (5, 80, 2)])
-def test_jaccard_join(frame, monkeypatch, words, percent, few):
+@pytest.mark.parametrize(("words", "percent", "few", "bits"), [(3, 90, 12, 26), (5, 80, 2, 26), (3, 90, 12, 12), (5, 80, 2, 10)])
+def test_jaccard_join(frame, monkeypatch, words, percent, few, bits):
+    """Also with a sketch that can count only a sample of the documents."""
     monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "SLICE", 1 << min(bits, 16))
+    monkeypatch.setattr(ngram_join, "BITS_MIN", min(bits, 16))
+    monkeypatch.setattr(ngram_join, "BITS_MAX", bits)
     rng = random.Random(words)
     base = [f"w{k}" for k in range(70)]
     texts = [None, "", " ", "a", "A", "a b", "a b c", "a  b\x0bc"]
