@@ -33,7 +33,7 @@ def postings(passages: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def bm25_scores(passages: DataFrame, terms: DataFrame, settings: dict[str, tuple[float, float]]) -> DataFrame:
     """Scores of all passages with a query's term, under each named (k1, b).
 
-    All statistics come from the postings, which are kept (in memory or on disk) while the result is used. Each term's part
+    All statistics come from the postings, which are kept (in memory or on disk) until the caller frees them. Each term's part
     is a DECIMAL, so that the sum doesn't depend on the order. Also counts a query's terms that match.
     """
     found = postings(passages, terms.select("term").distinct()).persist()
@@ -54,7 +54,9 @@ def bm25_scores(passages: DataFrame, terms: DataFrame, settings: dict[str, tuple
     scored = tf.join(small(weighted), "term").select("docid", *parts.values(), F.explode("queries").alias("q"))
     hits = scored.groupBy(F.col("q.split").alias("split"), F.col("q.query_id").alias("query_id"), "docid")
     total = terms.groupBy("split", "query_id").agg(F.count("*").alias("n_terms"))
-    return hits.agg(*[F.sum(k).cast("double").alias(k) for k in settings], F.count("*").alias("matched")).join(small(total), ["split", "query_id"])
+    out = hits.agg(*[F.sum(k).cast("double").alias(k) for k in settings], F.count("*").alias("matched")).join(small(total), ["split", "query_id"])
+    out.postings = found  # for the caller to free, once it has what it needs
+    return out
 
 
 def stable_top_k(scored: DataFrame, k: int, score: str = "bm25_score", rank: str = "bm25_rank") -> DataFrame:

@@ -43,6 +43,8 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
             docs = docs.repartition(slots)
         scored = retrieval.bm25_scores(docs, retrieval.query_terms(topics(spark, sf)), SETTINGS)
         _hits[key] = retrieval.stable_top_k(scored, TOP_K).persist()
+        _hits[key].count()
+        scored.postings.unpersist()  # a lost executor costs reading them again
     return _hits[key]
 
 
