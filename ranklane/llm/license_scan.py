@@ -138,3 +138,19 @@ def op8_license_scan(spark, sf_dir: str) -> DataFrame:
         "score",
         F.size("spans").cast("long").alias("n_spans"),
     )
+
+
+def license_base_counts(spark, sf_dir: str) -> DataFrame:
+    """The part of ``op8_license_scan`` that SQL can express, of all documents."""
+    return op8_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+BASE_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
+p AS (SELECT doc_id, words, list_filter(range(1, len(words) + 1), lambda i: words[i] = 'mit' AND words[i + 1] = 'license') AS m,
+        list_filter(range(1, len(words) + 1), lambda i: words[i] = 'apache' AND words[i + 1] = 'license') AS a,
+        list_filter(range(1, len(words) + 1), lambda i: words[i] = 'general' AND words[i + 1] = 'public' AND words[i + 2] = 'license') AS g FROM w)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(m) + len(a) + len(g) AS BIGINT) AS n_base, list_aggregate(list_concat(m, a, g), 'min') - 1 AS first_word, list_aggregate(list_concat(m, a, g), 'max') - 1 AS last_word,
+  concat_ws(',', CASE WHEN len(a) > 0 THEN 'apache' END, CASE WHEN len(g) > 0 THEN 'gpl' END, CASE WHEN len(m) > 0 THEN 'mit' END) AS base_labels
+FROM p
+"""

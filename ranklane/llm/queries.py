@@ -15,9 +15,11 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_html_extraction": html_text.op9_html_extraction,
     "op10_language_id": language_id.op10_language_id,
+    "license_base_counts": license_scan.license_base_counts,
 }
 
 ORACLES = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
+    "license_base_counts": license_scan.BASE_SQL,
 }
