@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranklane.llm.common import bounded_batches, keyed_text, materialize
-from ranklane.llm.parts import gather, text_units
+from ranklane.llm.parts import COMMON, common_strings, gather, text_units
 
 #: Tokens of a sequence, the id that ends a document, and pieces packed together.
 CAPACITY, END, GROUP = 1024, 2, 32768
 #: Rounds of exchange between partitions with gaps.
 ROUNDS = 2
 #: Bytes of text that are encoded together.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 4 << 20
 SPECIAL = "<|endoftext|>"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -40,15 +40,17 @@ class Tokens:
     """Ids of texts, as the tokenizer gives them.
 
     The ids of a text's parts follow one another. The distinct parts of many texts are encoded together, a line break
-    between two: it is a word of its own there, and its id tells where a part ends. Nothing is remembered from one
-    call to the next.
+    between two: it is a word of its own there, and its id tells where a part ends. Only the ids of given common parts
+    (their strings, ids and how many each has) are known from one call to the next.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, common: tuple[list[str], np.ndarray, np.ndarray] = ([], np.zeros(0, np.uint32), np.zeros(0, np.int64))) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.known = {p: k for k, p in enumerate(common[0])}
+        self.ids, self.sizes = common[1:]
 
     def encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of parts one after the other, and how many each has."""
@@ -56,7 +58,8 @@ class Tokens:
         groups = [plain[k : k + 2000] for k in range(0, len(plain), 2000)]
         ids, which, counts = [], [], []
         done = np.zeros(len(parts), bool)
-        for own, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join([parts[k] for k in g]) for g in groups], add_special_tokens=False), strict=True):
+        for own in groups:  # one by one: an encoding is many times as large as its ids
+            e = self.tokenizer.encode_batch_fast(["\n".join([parts[k] for k in own])], add_special_tokens=False)[0]
             all_ = np.array(e.ids, np.uint32)
             ends = np.flatnonzero(all_ == self.line[0])
             if len(ends) == len(own) - 1:
@@ -82,7 +85,12 @@ class Tokens:
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts one after the other, and where each text's begin (one more at the end)."""
         units, codes, bounds = text_units(texts, special=SPECIAL)
-        flat, sizes = self.encode_parts(units)
+        at = np.array([self.known.get(p, -1) for p in units], np.int64)
+        new = np.flatnonzero(at < 0)
+        flat, sizes = self.encode_parts([units[k] for k in new.tolist()])
+        # of the common parts followed by the new ones
+        at[new] = len(self.sizes) + np.arange(len(new))
+        flat, sizes, codes = np.concatenate([self.ids, flat]), np.concatenate([self.sizes, sizes]), at[codes]
         ends = np.concatenate([[0], np.cumsum(sizes[codes])])
         return gather(flat, np.cumsum(sizes) - sizes, sizes, codes), ends[bounds]
 
@@ -93,15 +101,37 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)] if n else []
 
 
+def common_parts(docs: DataFrame, path: str, most: int = COMMON) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The common parts of a sample, their ids one after the other, and how many each has."""
+
+    def listed(texts):
+        units, codes, _ = text_units(texts, special=SPECIAL)
+        return units, np.bincount(codes, minlength=len(units))
+
+    def spell(batches):
+        own = Tokens(path)
+        for b in batches:
+            flat, sizes = own.encode_parts(b.column(0).to_pylist())
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["word", "ids"])
+
+    words, held = common_strings(keyed_text(docs), listed, most)
+    parts = max(1, min(held // 2000, 2 * docs.sparkSession.sparkContext.defaultParallelism))
+    found = words.repartition(parts).mapInArrow(spell, "word string, ids array<int>").toArrow()
+    ids = found["ids"].combine_chunks()
+    return found["word"].to_pylist(), np.asarray(ids.flatten()).astype(np.uint32), np.diff(np.asarray(ids.offsets)).astype(np.int64)
+
+
 def document_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, ids: bool = False) -> DataFrame:
     """The pieces of every document with the checksum of their ids, and the ids where asked for."""
     bounded_batches(docs.sparkSession, 2000, 4 << 20)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * ids
     tail = np.array([end], "<u4").tobytes()
+    shared = docs.sparkSession.sparkContext.broadcast(common_parts(docs, path))  # at most COMMON parts
 
     def pieces(batches):
-        own = Tokens(path)
+        own = Tokens(path, shared.value)
         held, size = [], 0
 
         def rows():

@@ -11,6 +11,13 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ranklane.llm.common import bounded_batches, materialize, stated_bytes
+
+#: Strings that are shared by all tasks and their bytes, at most; bytes of the sample's files that they come from.
+COMMON, COMMON_BYTES, SAMPLE_BYTES = 400_000, 48, 40 << 20
 
 #: A space beside other white space, and white space beyond ASCII: such texts aren't cut at every space.
 _UNSAFE = "[ \t\n\v\f\r] | [\t\n\v\f\r]|[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -63,3 +70,32 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rows: np.nda
     """The concatenation of flat[starts[r] : starts[r] + sizes[r]] over ``rows``."""
     n = sizes[rows]
     return flat[np.repeat(starts[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+def common_strings(docs: DataFrame, listed, most: int = COMMON) -> tuple[DataFrame, int]:
+    """Strings (column word) that occur twice or more in a sample of about SAMPLE_BYTES of ``docs``, as many as fit under
+    ``most`` from the commonest down and of COMMON_BYTES at most, and their number.
+
+    ``listed`` gives the strings of an array of texts and how often each occurs. Which strings these are is a matter of cost.
+    """
+    bounded_batches(docs.sparkSession, 2000, 4 << 20)
+    stated = stated_bytes(docs)
+    share = 1.0 if stated is None else min(1.0, SAMPLE_BYTES / max(stated, 1))
+
+    def count(batches):
+        for b in batches:
+            words, n = listed(b.column(0))
+            if words:
+                words = pa.array(words, pa.string())
+                short = pc.less_equal(pc.binary_length(words), COMMON_BYTES)
+                yield pa.RecordBatch.from_arrays([words.filter(short), pa.array(n, pa.int64()).filter(short)], ["word", "n"])
+
+    sample = docs.select("text").sample(share, seed=11)
+    counts = materialize(sample.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "counts")
+    least, held = None, 0
+    for r in counts.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.desc("n")).collect():  # 999 rows at most
+        if held + r["count"] > most:
+            break
+        least, held = r["n"], held + r["count"]
+    kept = counts.where(F.col("n") >= least) if least is not None else counts.where("false")
+    return kept.select("word"), held
