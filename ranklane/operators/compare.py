@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklane.functions.text import hash_fraction
@@ -43,8 +43,6 @@ def bootstrap_by_hash(deltas: DataFrame, resamples: int = 10_000, seed: int = SE
 
     Relational throughout: numbered queries meet resamples x draws on the drawn number.
     """
-    from pyspark.sql import Window
-
     numbered = deltas.select("delta", (F.row_number().over(Window.orderBy("split", F.col("query_id"))) - 1).cast("long").alias("i"))
     n = deltas.count()
     spark = deltas.sparkSession
@@ -96,3 +94,14 @@ def tie_policy(descending: Column, ascending: Column, tolerance: float = 1e-9) -
     """Which tie policy's metric vector agrees with an external one, by the largest absolute differences of both."""
     down, up = descending <= tolerance, ascending <= tolerance
     return F.when(up & ~down, "docno_asc").when(down & ~up, "docno_desc").when(up & down, "inconclusive_metric_equivalent").otherwise("no_policy_matches")
+
+
+def best_epochs(rows: DataFrame) -> DataFrame:
+    """The best epoch of each run (the earliest of equal ones), and which run is selected (the first in order of equal ones).
+
+    ``rows``: run, priority, epoch, ndcg; a few rows for each run.
+    """
+    place = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("ndcg"), "epoch"))
+    best = rows.withColumn("place", place).where("place = 1").drop("place")
+    first = best.agg(F.max(F.struct("ndcg", (-F.col("priority")).alias("order"), "run")).alias("b")).select(F.col("b.run").alias("chosen"))
+    return best.join(F.broadcast(first), F.col("run") == F.col("chosen"), "left").select("run", "epoch", "ndcg", F.col("chosen").isNotNull().alias("selected"))

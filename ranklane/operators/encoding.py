@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,11 +38,35 @@ def lexical_scorer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.assign(score=pd.Series(score, dtype="float32"))[["query_id", "docid", "score"]]
 
 
+def checked(scorer: Scorer) -> Scorer:
+    """``scorer``, failing its task if it gives back another number of rows than it took, or a score that isn't finite."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken = given = 0
+
+        def counted():
+            nonlocal taken
+            for pdf in batches:
+                taken += len(pdf)
+                yield pdf
+
+        for out in scorer(counted()):
+            score = out["score"].to_numpy("float32")
+            if not np.isfinite(score).all():
+                raise ValueError("a score isn't finite")
+            given += len(out)
+            yield out.assign(score=score)
+        if given != taken:
+            raise ValueError(f"{given} scores of {taken} pairs")
+
+    return run
+
+
 def score_pairs(pairs: DataFrame, scorer: Scorer = lexical_scorer) -> DataFrame:
-    """query_id, docid, score by an injected scorer over Arrow batches, partitioned by query and sorted by length."""
+    """query_id, docid, score by an injected scorer over Arrow batches, partitioned by query and sorted by length; finite, one of each pair."""
     shaped = pairs.select("query_id", "docid", "query_text", "document")
     ordered = shaped.repartition("query_id").sortWithinPartitions(F.length("document"), "docid")
-    return ordered.mapInPandas(scorer, "query_id string, docid string, score float")
+    return ordered.mapInPandas(checked(scorer), "query_id string, docid string, score float")
 
 
 def sequences_once(pairs: DataFrame, most: int = 40) -> DataFrame:

@@ -916,6 +916,23 @@ def checkpoint_selection(spark, sf):
     return best.select("b.system", "b.ndcg")
 
 
+_EPOCHS = " UNION ALL ".join(f"SELECT '{x}' AS run, {k} AS priority, CASE split WHEN 'train' THEN 1 ELSE 2 END AS epoch, round(avg(ndcg_at_10), 9) AS ndcg FROM m_{x} GROUP BY split" for k, x in enumerate(("bm25", "lexical", "c")))
+
+
+@query(
+    "checkpoint_epochs",
+    f"""SELECT run, epoch, ndcg, row_number() OVER (ORDER BY ndcg DESC, priority) = 1 AS selected FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ndcg DESC, epoch) AS place FROM ({_EPOCHS})) WHERE place = 1""",
+)
+def checkpoint_epochs(spark, sf):
+    """The best epoch of each run and the selected run; the splits stand in for epochs."""
+    rows = None
+    for k, system in enumerate(("bm25", "lexical", "c")):
+        one = vectors(spark, sf, system).groupBy("split").agg(F.round(F.avg("ndcg_at_10"), 9).alias("ndcg"))
+        one = one.select(F.lit(system).alias("run"), F.lit(k).alias("priority"), F.when(F.col("split") == "train", 1).otherwise(2).alias("epoch"), "ndcg")
+        rows = one if rows is None else rows.unionByName(one)
+    return compare.best_epochs(rows)
+
+
 @query(
     "steady_state_estimate",
     "SELECT round(sum(pairs) / sum(seconds), 9) AS pairs_per_second, CAST(floor(100000 / (sum(pairs) / sum(seconds)) * 0.8) AS BIGINT) AS low_seconds, CAST(ceil(100000 / (sum(pairs) / sum(seconds)) * 1.4) AS BIGINT) AS high_seconds FROM (SELECT user_id, count(*) AS n, CAST(count(*) AS DOUBLE) AS pairs, sum(abs(value)) + 1 AS seconds FROM events GROUP BY 1) WHERE n >= 5",

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from ranklane.operators import compare, judgments, ranking
+from ranklane.operators import compare, encoding, judgments, ranking
 from ranklane.sources import tables
 from ranklane.streaming import shards
 
@@ -81,3 +81,17 @@ def test_a_stream_keeps_bad_lines(spark, tmp_path):
 @pytest.mark.parametrize(("down", "up", "label"), [(0.0, 0.1, "docno_desc"), (0.1, 0.0, "docno_asc"), (0.0, 0.0, "inconclusive_metric_equivalent"), (0.1, 0.1, "no_policy_matches")])
 def test_tie_policies(spark, down, up, label):
     assert spark.range(1).select(compare.tie_policy(F.lit(down), F.lit(up)).alias("x")).first()["x"] == label
+
+
+@pytest.mark.parametrize(("scorer", "said"), [(lambda batches: (b.assign(score=float("inf"))[["query_id", "docid", "score"]] for b in batches), "finite"), (lambda batches: (b.assign(score=1.0)[["query_id", "docid", "score"]].iloc[1:] for b in batches), "of 3 pairs")])
+def test_a_scorer_scores_every_pair(spark, scorer, said):
+    pairs = spark.createDataFrame([("q", f"d{k}", "a b", "b c") for k in range(3)], "query_id string, docid string, query_text string, document string")
+    assert {r["score"] for r in encoding.score_pairs(pairs).collect()} == {0.5}
+    with pytest.raises(Exception, match=said):
+        encoding.score_pairs(pairs, scorer).collect()
+
+
+def test_equal_epochs_and_runs_go_to_the_first(spark):
+    rows = [("a", 1, 1, 0.5), ("a", 1, 2, 0.6), ("b", 0, 1, 0.6), ("b", 0, 2, 0.6), ("c", 2, 1, 0.1)]
+    got = compare.best_epochs(spark.createDataFrame(rows, "run string, priority int, epoch int, ndcg double")).collect()
+    assert sorted((r["run"], r["epoch"], r["selected"]) for r in got) == [("a", 2, False), ("b", 1, True), ("c", 1, False)]
