@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
 PARTITION_BYTES = 16 << 20
 
 
+def release_memory() -> None:
+    """Gives what a Python worker has freed back to the system, at the end of a task: the worker lives on for later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def stated_bytes(df: DataFrame) -> int | None:
     """Bytes of the input of ``df`` as its plan states them (files, compressed); None where it doesn't know."""
     stated = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

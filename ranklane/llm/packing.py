@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranklane.llm.common import bounded_batches, keyed_text, materialize
+from ranklane.llm.common import bounded_batches, keyed_text, materialize, release_memory
 from ranklane.llm.parts import COMMON, common_strings, gather, text_units
 
 #: Tokens of a sequence, the id that ends a document, and pieces packed together.
@@ -135,7 +135,7 @@ def document_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: i
         held, size = [], 0
 
         def rows():
-            found = []
+            found: list[tuple] = []
             table = pa.Table.from_batches(held).combine_chunks()
             flat, at = own.encode_all(table.column(1).combine_chunks())
             for k, doc_id in enumerate(table.column(0).to_pylist()):
@@ -154,6 +154,8 @@ def document_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: i
                 held, size = [], 0
         if held:
             yield rows()
+        del own
+        release_memory()
 
     return keyed_text(docs).mapInArrow(pieces, PIECES + ", ids array<int>" * ids)
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ranklane.llm.common import bounded_batches, keyed_text, partitions_for
+from ranklane.llm.common import bounded_batches, keyed_text, partitions_for, release_memory
 
 #: Words and sentences of a run at least.
 MIN_WORDS, MIN_SENTENCES = 16, 2
@@ -154,6 +154,8 @@ def repeated_places(docs: DataFrame, parts: int | None = None) -> DataFrame:
                     held, size = [], 0
         if held:
             yield emit()
+        held = []
+        release_memory()
 
     def settle(batches):
         last = np.zeros(0, _KIND)
