@@ -1,8 +1,8 @@
 """N-gram Jaccard join: a size-aware heavy-light join over sets of word shingles.
 
 Two sets link when 100 * |intersection| >= percent * |union|. All sets are ordered by one global order of
-shingles, rarest first as far as a fixed-size sketch of counts tells (of a bounded sample of documents where there are more than
-it can count; any order gives the same links), so that common passages come last. With
+shingles, rarest first as far as a fixed-size sketch of the counts of all documents tells (any order gives the same links), so
+that common passages come last. With
 t = ceil(percent * n / 100), a set of n shingles shares at least t with any partner, hence at
 least c shingles lie among the first n - t + c of both.
 
@@ -11,8 +11,9 @@ least c shingles lie among the first n - t + c of both.
   sets that are large enough to link with a heavy one stand in the lists too.
 * The boundary minimises the cost of both over the histogram of set sizes.
 
-A shingle that is in no other set's prefix gives no key. A sketch of all documents tells that by itself (its counts are upper
-bounds); beyond, the prefixes' shingles are counted exactly, by a shuffle that grows with the documents.
+A shingle that is in no other set's prefix gives no key. A sketch with room for all documents tells that by itself (its counts
+are upper bounds). Where slots hold many shingles each, levels are told by how far a slot stands out, and the prefixes' shingles are
+counted exactly, by a shuffle that grows with the documents.
 Equal sets form one class, represented by their smallest id; only representatives are joined. Keys with few
 sets compare them all; keys with many compare each set with a leader first, then only sets of different
 components with each other, so that a group of copies never costs all of its pairs and no link between
@@ -40,9 +41,9 @@ from ranklane.llm.common import bounded_batches, keyed_text, materialize, releas
 from ranklane.llm.components import components
 
 #: The sketch: counters for each document, and bounds for their number (as powers of two). Levels of counts are
-#: kept in four bits each, at most 32 MB. It counts the documents that fit, or a sample of so many.
+#: kept in four bits each, at most 32 MB. All documents are counted; beyond the upper bound slots are shared by more shingles.
 COUNTERS, BITS_MIN, BITS_MAX = 256, 16, 26
-#: The smallest count of each level, and a slice of counters that is summed in one place.
+#: The smallest count of each level (while there is room), and a slice of counters that is summed in one place.
 LEVELS, SLICE = (0, 1, 2, 3, 4, 5, 7, 9, 13, 19, 29, 45, 71, 111, 171, 255), 1 << 16
 #: Sets of one key that are compared all with all.
 FEW = 12
@@ -193,14 +194,36 @@ def slot(counted: np.ndarray, shift: np.uint64) -> np.ndarray:
         return (counted * _U(0x9FB21C651E98DF25)) >> shift
 
 
-def statistics(docs: DataFrame, words: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Over all rows: the level of every slot's count (two to a byte), the slots of each level, and the histogram of
-    set sizes."""
+def _sizes(counts: np.ndarray) -> np.ndarray:
+    """Classes of counts: sixteen to a doubling."""
+    return (16 * np.log2(counts + 1.0)).astype(np.int64)
+
+
+def _tail_levels(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest class of each level, and by how much its counts exceed the mean; ``found``: the slots of each class.
+
+    None and one are levels of their own; of the other slots, each next level holds the largest third of those before.
+    """
+    size = 2.0 ** (np.arange(len(found)) / 16) - 1
+    above = np.cumsum(found[::-1])[::-1]  # slots of this class or a larger one
+    two = int(_sizes(np.array(2)))
+    most = above[two] if len(found) > two else 0
+    edges = [0, int(_sizes(np.array(1)))] + [max(two, int(np.sum(above > most / 3**k))) for k in range(14)]
+    mean = float((found * size).sum() / max(1, found.sum()))
+    return np.array(edges), np.concatenate([[0], np.clip(2.0 ** (np.array(edges[1:]) / 16) - 1 - mean, 1, LEVELS[-1])])
+
+
+def statistics(docs: DataFrame, words: int, bits: int, full: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Over all rows: the level of every slot's count (two to a byte), the slots of each level, the histogram of set sizes,
+    and the count that each level stands for. ``full``: slots hold many shingles each, so levels go by the counts found."""
     spark = docs.sparkSession
     bounded_batches(spark, 1000, 8 << 20)
     size = 1 << bits
     slices = size // SLICE
 
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["k", "at", "n"])
+
     def count(batches):
         total, hist = np.zeros(size, np.uint8), np.zeros(SIZES + 1, np.int64)
         shift = _U(64 - bits)
@@ -208,7 +231,13 @@ def statistics(docs: DataFrame, words: int, bits: int) -> tuple[np.ndarray, np.n
             sets = shingle_sets([x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()], words)
             hist += np.bincount(np.minimum([len(s) for s in sets], SIZES), minlength=SIZES + 1) if sets else 0
             at, n = np.unique(slot(scrambled(np.concatenate(sets)), shift) if sets else np.zeros(0, np.uint64), return_counts=True)
-            total[at] = np.minimum(255, total[at].astype(np.int64) + n)
+            n = total[at] + n.astype(np.int64)
+            large = np.flatnonzero(n > 255)
+            if len(large):  # a count that outgrows its byte goes on its own
+                own, of = at[large].astype(np.int64), n[large]
+                yield table([(k, (own[own // SLICE == k] % SLICE).astype(np.uint16).tobytes(), of[own // SLICE == k].tobytes()) for k in np.unique(own // SLICE).tolist()])
+                n[large] = 0
+            total[at] = n
         rows = [(slices, None, hist.tobytes())]
         for k in range(slices):
             part = total[k * SLICE : (k + 1) * SLICE]
@@ -218,7 +247,7 @@ def statistics(docs: DataFrame, words: int, bits: int) -> tuple[np.ndarray, np.n
             else:
                 rows.append((k, None, part.tobytes()))
             if len(rows) >= 64 or k == slices - 1:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["k", "at", "n"])
+                yield table(rows)
                 rows = []
 
     def merge(batches):
@@ -228,18 +257,42 @@ def statistics(docs: DataFrame, words: int, bits: int) -> tuple[np.ndarray, np.n
                 if k == slices:
                     found[k] = found.get(k, 0) + np.frombuffer(n, np.int64)
                     continue
-                own = found.setdefault(k, np.zeros(SLICE, np.uint8))
-                new = np.frombuffer(n, np.uint8)
+                own = found.setdefault(k, np.zeros(SLICE, np.int64))
                 where = slice(None) if at is None else np.frombuffer(at, np.uint16)
-                own[where] = np.minimum(255, own[where].astype(np.uint16) + new)
+                own[where] += np.frombuffer(n, np.int64 if at is not None and len(n) == 4 * len(at) else np.uint8)
         for k, x in found.items():
-            if k < slices:
-                level = (np.searchsorted(LEVELS, x, side="right") - 1).astype(np.uint8)
-                x = level[::2] | level[1::2] << np.uint8(4)
+            if not full and k < slices:
+                x = packed(np.searchsorted(LEVELS, x, side="right") - 1)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["k", "n"])
 
+    def packed(level):
+        return level[::2].astype(np.uint8) | level[1::2].astype(np.uint8) << np.uint8(4)
+
+    def classes(batches):
+        found = np.zeros(1, np.int64)
+        for b in batches:
+            for k, n in zip(b.column("k").to_pylist(), b.column("n").to_pylist(), strict=True):
+                if k < slices:
+                    own = np.bincount(_sizes(np.frombuffer(n, np.int64)), minlength=len(found))
+                    own[: len(found)] += found
+                    found = own
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found)), pa.int64()), pa.array(found)], ["size", "n"])
+
     parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     merged = keyed_text(docs).mapInArrow(count, "k int, at binary, n binary").repartition(parts, "k").mapInArrow(merge, "k int, n binary")
+    stands = np.array(LEVELS, float)
+    if full:
+        counts = materialize(merged, "counted")
+        held = {r["size"]: r["n"] for r in counts.mapInArrow(classes, "size long, n long").groupBy("size").agg(F.sum("n").alias("n")).collect()}  # 1024 classes at most
+        edges, stands = _tail_levels(np.array([held.get(k, 0) for k in range(max(held) + 1)], np.int64))
+
+        def graded(batches):
+            for b in batches:
+                pairs = zip(b.column("k").to_pylist(), b.column("n").to_pylist(), strict=True)
+                out = [n if k == slices else packed(np.searchsorted(edges, _sizes(np.frombuffer(n, np.int64)), side="right") - 1).tobytes() for k, n in pairs]
+                yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(out, pa.binary())], ["k", "n"])
+
+        merged = counts.mapInArrow(graded, "k int, n binary")
     levels, hist, used = np.zeros(size // 2, np.uint8), np.zeros(SIZES + 1, np.int64), np.zeros(16, np.int64)
     for r in merged.collect():  # the sketch: a fixed number of bytes
         if r.k == slices:
@@ -248,23 +301,22 @@ def statistics(docs: DataFrame, words: int, bits: int) -> tuple[np.ndarray, np.n
             own = np.frombuffer(bytes(r.n), np.uint8)
             levels[r.k * SLICE // 2 : (r.k + 1) * SLICE // 2] = own
             used += np.bincount(own & 15, minlength=16) + np.bincount(own >> 4, minlength=16)
-    return levels, used, hist
+    return levels, used, hist, stands
 
 
-def boundary(hist: np.ndarray, used: np.ndarray, percent: int) -> int:
+def boundary(hist: np.ndarray, used: np.ndarray, percent: int, stands: np.ndarray) -> int:
     """The largest light size: the cheapest split of the histogram into subsets and inverted lists."""
     n = np.arange(SIZES + 1)
     prefix = n - least_shared(n, percent)
-    c = np.array(LEVELS, float)
-    length = float((c * c * used).sum() / max(1.0, (c * used).sum()))  # of the list that an entry stands in, on average
+    length = float((stands * stands * used).sum() / max(1.0, (stands * used).sum()))  # of the list that an entry stands in, on average
     light = np.cumsum(hist * (prefix + 2) * (prefix + 1) / 2)
     heavy = hist * (prefix + 1) * (1 + length)
     cost = light + heavy.sum() - np.cumsum(heavy)
     return int(np.argmin(cost[:SIZES]))
 
 
-def _signatures(docs: DataFrame, words: int, order: Order, counted: bool) -> DataFrame:
-    """doc_id, n, class (a digest of the set), rarity and prefix of every row, and both kinds of keys if all documents were counted."""
+def _signatures(docs: DataFrame, words: int, order: Order, full: bool) -> DataFrame:
+    """doc_id, n, class (a digest of the set), rarity and prefix of every row, and both kinds of keys unless the sketch is full."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
     names = ["doc_id", "n", "class", "rare", "prefix", "single", "pairs"]
     longs = pa.list_(pa.int64())
@@ -274,7 +326,7 @@ def _signatures(docs: DataFrame, words: int, order: Order, counted: bool) -> Dat
         for b in batches:
             sets = shingle_sets([x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()], words)
             prefixes = [order.prefix(s) if len(s) else s for s in sets]
-            keys = [order.keys(p, len(s), p >> _U(57) <= _U(1)) if counted and len(s) else (p[:0], p[:0]) for p, s in zip(prefixes, sets, strict=True)]
+            keys = [order.keys(p, len(s), p >> _U(57) <= _U(1)) if len(s) and not full else (p[:0], p[:0]) for p, s in zip(prefixes, sets, strict=True)]
             columns = [
                 b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()),
                 pa.array([rarity(p) for p in prefixes], pa.int64()),
@@ -376,14 +428,14 @@ def similar_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame,
     """
     total = docs.count()
     bits = min(BITS_MAX, max(BITS_MIN, math.ceil(math.log2(max(1, COUNTERS * total)))))
-    counted = COUNTERS * total <= 1 << bits
-    levels, used, hist = statistics(docs if counted else docs.sample((1 << bits) / COUNTERS / total, seed=5), words, bits)
-    order = Order(levels, percent, boundary(hist, used, percent))
-    signed = materialize(_signatures(docs, words, order, counted), "signed")
+    full = COUNTERS * total > 1 << bits
+    levels, used, hist, stands = statistics(docs, words, bits, full)
+    order = Order(levels, percent, boundary(hist, used, percent, stands))
+    signed = materialize(_signatures(docs, words, order, full), "signed")
     classes = materialize(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
     first = signed.where("n > 0").join(classes.select(F.col("rep").alias("doc_id"), "class"), ["doc_id", "class"], "left_semi").groupBy("doc_id").agg(*[F.min_by(c, "class").alias(c) for c in ("n", "class", "rare", "prefix", "single", "pairs")])
     reps = materialize(first, "reps")
-    if not counted:
+    if full:
         reps = materialize(_with_keys(reps, order), "reps")
     columns = ["doc_id", "n", "rare"]
     entries = reps.select(*columns, F.lit(1).alias("kind"), F.explode("single").alias("key")).unionByName(reps.select(*columns, F.lit(2).alias("kind"), F.explode("pairs").alias("key")))

@@ -132,6 +132,28 @@ def test_jaccard_join(frame, monkeypatch, words, percent, few, bits):
     assert got == {k: (len(sets[k]), want[k]) for k in sets}
 
 
+@pytest.mark.parametrize("bits", [16, 10])
+def test_sketch_counts_all_documents(frame, monkeypatch, bits):
+    """Also one whose slots hold many shingles each, and counts beyond a byte."""
+    monkeypatch.setattr(ngram_join, "SLICE", 1 << min(bits, 12))
+    monkeypatch.setattr(ngram_join, "BITS_MIN", bits)
+    monkeypatch.setattr(ngram_join, "BITS_MAX", bits)
+    seen, statistics = [], ngram_join.statistics
+    monkeypatch.setattr(ngram_join, "statistics", lambda *a: seen.append(statistics(*a)) or seen[-1])
+    texts = [f"own{k} one{k} " + ("a common passage of all" if k % 2 else f"other{k % 9} a b c") for k in range(1600)]
+    ngram_join.similar_links(frame(list(enumerate(texts)), 2), 3, 90)
+    levels, used, hist = seen[0][:3]
+    counts = np.zeros(1 << bits, np.int64)
+    sets = ngram_join.shingle_sets([t.encode() for t in texts], 3)
+    for s in sets:
+        np.add.at(counts, ngram_join.slot(ngram_join.scrambled(s), np.uint64(64 - bits)).astype(np.int64), 1)
+    assert hist.sum() == len(texts) and used.sum() == 1 << bits and counts.max() > 255
+    level = np.stack([levels & 15, levels >> 4], 1).ravel()
+    assert (level <= 1).tolist() == (counts <= 1).tolist()  # only what no two documents have counts as alone
+    by_count = level[np.argsort(counts, kind="stable")].astype(int)
+    assert (np.diff(by_count) >= 0).all() and by_count[-1] > by_count[len(by_count) // 2]
+
+
 def test_substring_dedup(frame):
     passage = "This is a passage that many documents share. It has several sentences, and they run on for a while! Does it end here? It does now."
     rows = [(k, f"Own start number {k} of this text.\n{passage}\nOwn end {k * k} of it.") for k in range(6)] + [(50, None), (51, ""), (52, "Short. Short."), (53, passage + " " + passage), (None, passage)]
