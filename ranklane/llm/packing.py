@@ -20,6 +20,7 @@ from bisect import bisect_left, insort
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +34,41 @@ ROUNDS = 2
 #: Bytes of text that are encoded together.
 CHUNK_BYTES = 4 << 20
 SPECIAL = "<|endoftext|>"
+#: ASCII letters, visible ASCII characters, and marks: those that are neither letters nor digits.
+_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_VISIBLE = np.array([33 <= b <= 126 for b in range(256)])
+_MARK = _VISIBLE & np.array([not chr(b).isalnum() for b in range(256)])
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def finer(units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct pieces of ``units``, the pieces of each one after the other (as positions), and how many each has.
+
+    They are cut at places that no word of the tokenizer spans: from a letter to a mark, and around a line break between two
+    characters that aren't white space, as far as ASCII and the letters of Latin-1 go. So a word that stands before different
+    marks or lines is one piece in all of them. A unit with the special string is left whole.
+    """
+    texts = pa.array(units, pa.large_string())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[: len(units) + 1]
+    if not len(units) or not bounds[-1]:
+        return [], np.zeros(0, np.int64), np.zeros(len(units), np.int64)
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[: bounds[-1]]
+    letter = _LETTER[raw]  # the last byte of one
+    letter[1:] |= (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+    last = letter | _VISIBLE[raw]
+    first = _VISIBLE[raw]
+    first[:-1] |= (raw[:-1] == 0xC3) & letter[1:]
+    line = np.flatnonzero((raw[1:-1] == 10) & last[:-2] & first[2:]) + 1
+    places = np.concatenate([np.flatnonzero(letter[:-1] & _MARK[raw[1:]]) + 1, line, line + 1])
+    special = pc.match_substring(texts, SPECIAL).to_numpy(zero_copy_only=False)
+    if special.any():
+        places = places[~special[np.searchsorted(bounds, places, side="right") - 1]]
+    starts = np.unique(np.concatenate([bounds[:-1][np.diff(bounds) > 0], places]))
+    ends = np.append(starts, bounds[-1])
+    coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), texts.buffers()[2]).dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices).astype(np.int64), np.diff(np.searchsorted(starts, bounds))
+
+
 class Tokens:
     """Ids of texts, as the tokenizer gives them.
 
@@ -85,12 +118,16 @@ class Tokens:
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts one after the other, and where each text's begin (one more at the end)."""
         units, codes, bounds = text_units(texts, special=SPECIAL)
-        at = np.array([self.known.get(p, -1) for p in units], np.int64)
+        parts, of, counts = finer(units)
+        at = np.array([self.known.get(p, -1) for p in parts], np.int64)
         new = np.flatnonzero(at < 0)
-        flat, sizes = self.encode_parts([units[k] for k in new.tolist()])
+        flat, sizes = self.encode_parts([parts[k] for k in new.tolist()])
         # of the common parts followed by the new ones
         at[new] = len(self.sizes) + np.arange(len(new))
-        flat, sizes, codes = np.concatenate([self.ids, flat]), np.concatenate([self.sizes, sizes]), at[codes]
+        flat, sizes, of = np.concatenate([self.ids, flat]), np.concatenate([self.sizes, sizes]), at[of]
+        # of the units, each made of its parts
+        flat, until = gather(flat, np.cumsum(sizes) - sizes, sizes, of), np.concatenate([[0], np.cumsum(sizes[of])])
+        sizes = np.diff(until[np.concatenate([[0], np.cumsum(counts)])])
         ends = np.concatenate([[0], np.cumsum(sizes[codes])])
         return gather(flat, np.cumsum(sizes) - sizes, sizes, codes), ends[bounds]
 
@@ -106,7 +143,8 @@ def common_parts(docs: DataFrame, path: str, most: int = COMMON) -> tuple[list[s
 
     def listed(texts):
         units, codes, _ = text_units(texts, special=SPECIAL)
-        return units, np.bincount(codes, minlength=len(units))
+        parts, of, counts = finer(units)
+        return parts, np.bincount(of, np.repeat(np.bincount(codes, minlength=len(units)), counts), len(parts)).astype(np.int64)
 
     def spell(batches):
         own = Tokens(path)

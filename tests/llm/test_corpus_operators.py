@@ -30,6 +30,24 @@ def test_bpe_round_trip(frame):
         assert got[k]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_words_beside_marks_and_lines_are_encoded_once():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, plain = packing.Tokens(path), Tokenizer.from_file(path)
+    rng = random.Random(12)
+    signs = ["a", "Straße", "don't", "'s", "'", ".", ",", "\n", "\n", " ", " ", "12", "²", "é", "e\u0301", "_", "(", "<|endoftext|>", "\r", "\t", "\x1c", "\x85", "日", "×"]
+    texts = ODD + ["".join(rng.choices(signs, k=rng.randrange(1, 30))) for _ in range(3000)]
+    flat, at = own.encode_all(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert flat[at[k] : at[k + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids, t
+    asked, encode = [], own.encode_parts
+    own.encode_parts = lambda parts: asked.extend(parts) or encode(parts)
+    own.encode_all(pa.array(["so some words. And some\nso more words! some words, (and) some words\nso"]))
+    assert sorted(asked) == sorted(["so", " some", " words", ".", " And", "\n", " more", "!", ",", " (and", ")"])
+
+
 def test_packing(frame):
     from tokenizers import Tokenizer
 
